@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +56,30 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).parents[1]
+    folder = tempfile.mkdtemp(prefix="code-")  # the driver serves the archive while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    source = Path(folder, "source", package.name)
+    shutil.copytree(package, source, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}_code", "zip", source.parent))
+    _shipped.add(app)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that no other column can clash with its own."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast(T.LongType()).alias("doc_id"),
         F.col(text_col).cast(T.StringType()).alias("text"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import bpe, exact_dedup, packing, quality_rules, token_files
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op5_packing": packing.op5_packing,
+        "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+        "op8_token_files": token_files.op8_token_files,
     }
 
 
