@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, near_dedup, packing, quality_rules, token_files
+from . import bpe, exact_dedup, near_dedup, packing, quality_rules, token_files, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op5_packing": packing.op5_packing,
         "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
         "op8_token_files": token_files.op8_token_files,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
