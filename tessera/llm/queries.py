@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, near_dedup, packing, quality_rules, token_files, toxicity
+from . import bpe, exact_dedup, language_id, near_dedup, packing, quality_rules, token_files, toxicity
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_language_id": language_id.op4_language_id,
         "op5_packing": packing.op5_packing,
         "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
         "op8_token_files": token_files.op8_token_files,
