@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, near_dedup, packing, quality_rules, token_files, toxicity
+from . import bpe, exact_dedup, language_id, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_language_id": language_id.op4_language_id,
         "op5_packing": packing.op5_packing,
@@ -21,5 +22,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.OP1_SQL,
+        "op2_substring_dedup": substring_dedup.OP2_SQL,
         "op3_exact_dedup": exact_dedup.OP3_SQL,
     }
