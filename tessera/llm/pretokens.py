@@ -15,7 +15,7 @@ from . import textbytes as tb
 
 #: Distinct pre-tokens kept by one worker; beyond that the table starts anew.
 CACHE_ENTRIES = 1_200_000
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 LETTER, DIGIT, OTHER, SPACE, BLANK = range(5)
 _CLASS = np.full(256, OTHER, np.uint8)

@@ -27,7 +27,7 @@ from . import common, pretokens
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 16
 MAGIC = b"DAC1"
 SEGMENTS = "part int, nth long, ids_before long, n_ids long, blob binary"
 
@@ -58,7 +58,7 @@ class Segment:
     """Reads one segment."""
 
     def __init__(self, blob: bytes):
-        if blob[:4] != MAGIC:
+        if bytes(blob[:4]) != MAGIC:
             raise ValueError("not a segment of directly addressable codes")
         n_docs, self.n_ids, n_levels = struct.unpack_from("<III", blob, 4)
         at = 16
@@ -168,8 +168,8 @@ def read(spark, folder: str):
 
     def run(batches):
         for batch in batches:
-            for part, before, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seg = Segment(blob)
+            for part, before, blob in zip(*batch.columns, strict=True):
+                part, before, seg = part.as_py(), before.as_py(), Segment(blob.as_buffer())
                 cuts = seg.offsets.tolist()
                 crcs = [zlib.crc32(seg.read(a, b).astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.record_batch(
