@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity
+from . import bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality_rules, substring_dedup, token_files, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_language_id": language_id.op4_language_id,
         "op5_packing": packing.op5_packing,
         "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+        "op7_lm_scoring": lm_scoring.op7_lm_scoring,
         "op8_token_files": token_files.op8_token_files,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_near_dedup": near_dedup.op10_near_dedup,
