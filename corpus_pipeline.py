@@ -1,5 +1,59 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
+next stage's docs.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, exact_dedup, near_dedup, packing, substring_dedup, toxicity
+
+#: MinHash shingles are not expressible in SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not find toxic (score under 0.5)."""
+    model = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(toxicity.score_of(model)(F.col("text").cast("string")) < 0.5)
+
+
+def exact_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest identifier."""
+    return common.keep_rows(docs, exact_dedup.exact_groups(docs))
+
+
+def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (5-word shingles, similarity from 0.8), the smallest identifier."""
+    return common.keep_rows(docs, near_dedup.near_groups(docs, size=5, percent=80))
+
+
+def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller identifier has."""
+    return substring_dedup.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("exact_dedup", exact_out),
+    ("near_dedup", near_out),
+    ("substring_dedup", passages_out),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is staged in the shared folder."""
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -96,3 +96,12 @@ def let(value, body):
     A lambda variable holds the value, so the optimizer cannot copy its expression to each use.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def keep_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose identifier has a kept row in ``judged`` (doc_id, kept).
+
+    A null identifier meets a null identifier.  All columns of ``docs`` are returned as they are.
+    """
+    kept = judged.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast(T.LongType()).eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -177,6 +177,24 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def score_of(model: Model):
+    """A column function: the score of a text column, so that filters keep a row's other columns."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        weight = np.zeros(1 << BITS)
+        weight[model.buckets] = model.weights
+        wanted = weight != 0
+        out = [np.zeros(0)]
+        for _, offs, buf in tb.slices(texts.fill_null("")):
+            rows, found = hits(offs, buf, wanted)
+            z = np.bincount(rows, weight[found], len(offs) - 1) + model.intercept
+            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return pa.array(np.concatenate(out))
+
+    return score
+
+
 def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0
 
