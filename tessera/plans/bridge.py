@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import codes
+from ..shipping import ship
 from ..sources import corpus
 
 DIFF, SIDE, PROMPT_FEATURES = 0.20, 0.15, 16
@@ -21,6 +22,7 @@ class Bridge:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        ship(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

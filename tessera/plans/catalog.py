@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import hashing, text
 from ..functions import stats as S
-from ..operators import codes, conditional, diagnose, elicit, relevance, select
+from ..operators import cluster, codes, conditional, diagnose, elicit, export, interpret, lens, logistic, relevance, select, validate
 from ..sources import corpus
 from .bridge import SQL, Bridge
 
@@ -518,6 +518,100 @@ def wilson_lb(b):
     return b.table("documents").select(n.alias("n"), F.floor(n / 2).alias("k")).select("n", "k", F.round(S.wilson_lower(F.col("k"), F.col("n")), 6).alias("lb"))
 
 
+@query(f""", mt as (select feature_id, sign(human_pref - 0.5)::int as truth, battle_id, z from zd join battles using (battle_id)),
+j as (select feature_id, case when z > 0 then 1 else -1 end as truth, case when truth = 0 then null else truth end as label from mt),
+k as (select feature_id, count(*) as n_all, count_if(label is not null) as n, count_if(label is not null and truth > 0) as np, count_if(label is not null and truth < 0) as nn, count_if(truth = label) as agree,
+count_if(truth > 0 and label > 0) as tp, count_if(truth < 0 and label > 0) as fp, count_if(truth > 0 and label < 0) as fn,
+{pearson_sql("count_if(label is not null)", "coalesce(sum(case when label is not null then truth end), 0)", "count_if(label is not null)::double", "coalesce(sum(label), 0)", "coalesce(sum(label * label), 0)::double", "coalesce(sum(label * truth), 0)")} as r from j group by feature_id)
+select feature_id, n_all::bigint as n_attempted, n::bigint as n, np::bigint as n_pos_ok, nn::bigint as n_neg_ok, round(agree / nullif(n, 0), 6) as agreement, round(tp / nullif(tp + fp, 0), 6) as precision,
+round(tp / nullif(tp + fn, 0), 6) as recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1, round(r, 6) as correlation from k""")
+def pairwise_metrics(b):
+    y = F.signum(F.col("human_pref") - 0.5).cast("int")
+    judged = b.z_diff().join(b.battles().select("battle_id", "human_pref"), "battle_id").select(
+        "feature_id", F.when(F.col("z") > 0, 1).otherwise(-1).alias("truth"), F.when(y != 0, y).alias("label")
+    )
+    out = interpret.pairwise_metrics(judged).select("feature_id", "n_attempted", "n", "n_pos_ok", "n_neg_ok", "agreement", "precision", "recall", "f1", "correlation")
+    return rounded(out, "agreement", "precision", "recall", "f1", "correlation")
+
+
+@query(f""", {_DIAG}, wr as (select feature_id, avg(case when z > 0 then human_pref end) - avg(case when z < 0 then human_pref end) as w from zd join battles using (battle_id) group by feature_id)
+select self_model as model, any_value(n)::bigint as n_battles, round(sum((p - q) / n * coalesce(w, 0)), 6) as predicted_score, round((select avg(win) from meta m where m.self_model = d.self_model), 6) as actual_win_rate
+from d join wr using (feature_id) group by self_model""")
+def validate_scores(b):
+    weight = validate.weights(relevance.win_relevance(b.z_diff(), b.battles(), p_values=False), "win_assoc")
+    return rounded(validate.model_scores(b.meta(), b.bank_codes(), weight, 1), "predicted_score", "actual_win_rate")
+
+
+@query("""select feature_id % 8 as cluster_id, count(*)::bigint as n_features, count_if(feature_id % 3 <> 0)::bigint as n_verified,
+concat('concept_', min(feature_id) filter (where feature_id % 3 <> 0)) as behavior, string_agg(feature_id::varchar, ',' order by feature_id) as feature_ids,
+string_agg(concat('concept_', feature_id), ' | ' order by feature_id) as member_concepts from dims group by all""")
+def cluster_summary(b):
+    names = b.names()
+    return cluster.summarize(names.select("feature_id", "cluster_id"), names.drop("cluster_id"))
+
+
+@query()
+def win_relevance_logistic(b):
+    return rounded(logistic.controlled(b.z_diff(), b.battles().join(codes.oriented(b.battles()).filter("orientation = 'a'").select("battle_id", "length"), "battle_id")), "beta", "delta_win_rate", "lr_chi2", "lr_p", "p_bonferroni")
+
+
+def with_length(b):
+    return b.battles().join(codes.oriented(b.battles()).filter("orientation = 'a'").select("battle_id", "length"), "battle_id")
+
+
+@query()
+def conditional_win_relevance(b):
+    return logistic.conditional(b.z_diff(), with_length(b), b.prompt_types(), min_battles=10, min_fire=2)
+
+
+@query()
+def language_win_relevance(b):
+    return logistic.by_language(b.z_diff(), with_length(b), min_battles=20)
+
+
+@query()
+def cluster_win_relevance(b):
+    return logistic.by_cluster(b.z_diff(), with_length(b), b.names().select("feature_id", "cluster_id"))
+
+
+@query()
+def cluster_features(b):
+    return cluster.cluster_features(b.z_diff(), b.battles().count(), "mi-leiden")
+
+
+@query()
+def kmeans_examples(b):
+    vectors = b.vectors().select("vec_id", F.col("e").alias("vector"))
+    return cluster.cluster_examples(vectors, k=8).select("vec_id", "cluster_id")
+
+
+@query()
+def evaluate_preference(b):
+    got = validate.evaluate_preference(b.z_diff(), b.battles(), 64)
+    return b.spark.createDataFrame([(k, float(v)) for k, v in got.items()], "metric string, value double")
+
+
+@query()
+def split_reliability(b):
+    return validate.split_reliability(b.z_diff(), b.battles())
+
+
+@query()
+def pca_map(b):
+    return export.project2d(b.vectors().select("vec_id", F.col("e").alias("vector"))).select("vec_id", "x", "y")
+
+
+@query()
+def lens_metrics(b):
+    return elicit.lens_metrics(b.z_diff(), b.battles(), 64)
+
+
+@query("""select vec_id, feature_id, round(e[feature_id + 1], 6) as z from emb, dims where abs(e[feature_id + 1]) > 0.15""")
+def lens_encode(b):
+    vectors = b.vectors().select("vec_id", F.col("e").alias("vector"))
+    return rounded(lens.encode(vectors, lens.Lens.identity(64, 0.15), key="vec_id"), "z")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
