@@ -37,7 +37,7 @@ from .components import components
 
 BINS = 128
 ROWS = 4
-CENTRES = 8
+CENTRES = 3
 _rng = np.random.Generator(np.random.PCG64(71))
 _DONORS = np.stack([_rng.permutation(BINS) for _ in range(BINS)])
 _ROW_ODD = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,7 +172,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             placed = live.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
                 "component_id", F.coalesce("component_id", "rep")
             )
-            orders = [F.xxhash64("rep", "bucket", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
+            # The same order in all buckets: buckets of one group then share centres, and so edges.
+            orders = [F.xxhash64("rep", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
         centre = F.struct(F.col("rep").alias("center"), F.col("n_shingles").alias("n"), F.col("component_id").alias("c"))
         stars = (
             placed.groupBy("bucket")
