@@ -46,9 +46,9 @@ def parse_concept(reply: str) -> str:
 def parse_result(reply: str) -> dict:
     """status, concept, confidence; anything unreadable abstains."""
     out = {"status": "abstain", "concept": "", "confidence": 0.0}
-    block = re.search(r"\{.*\}", re.sub(r"(?s)<think>.*?</think>", "", reply or ""), re.S)
+    body = re.sub(r"(?s)<think>.*?</think>", "", reply or "")
     try:
-        got = json.loads(block.group()) if block else {"concept": parse_concept(reply), "status": "ok"}
+        got = json.loads(body[body.index("{") : body.rfind("}") + 1]) if "{" in body else {"concept": parse_concept(body), "status": "ok"}
     except ValueError:
         return out
     concept = next((str(got[k]).strip() for k in CONCEPT_KEYS if got.get(k)), "")
