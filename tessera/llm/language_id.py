@@ -104,6 +104,8 @@ def fit(docs: DataFrame) -> Model:
     """Learn from a bounded table (text, lang)."""
     docs = common.staged(docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang"), "by-language")
     langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    if not langs:
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, len(SCRIPTS)), bool))
 
     def count(batches):
         seen = np.zeros((len(langs), 1 << BITS), np.int32)
@@ -202,7 +204,7 @@ def labelled(model: Model, column):
             rows = upto
         first = np.concatenate(firsts)
         scores = np.concatenate(parts)
-        path = viterbi(scores, first, SWITCH) if len(scores) else np.zeros(0, np.int8)
+        path = viterbi(scores, first, SWITCH) if scores.size else np.zeros(len(scores), np.int8)
         starts, ends = (np.concatenate(x) for x in zip(*spans, strict=True))
         yield lo, offs, buf, first, path, starts, ends
 
@@ -238,7 +240,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo, offs, _, first, path, starts, ends in labelled(model, batch.column(1)):
-                if not len(path):
+                if not len(path) or not model.langs:
                     continue
                 row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
                 change = np.ones(len(path), bool)
