@@ -275,13 +275,13 @@ def with_top(rows: DataFrame, levels: list) -> DataFrame:
 
 def frequent(table: DataFrame, count: str) -> pa.Table:
     """The rows with the highest counts, at most FREQUENT of them, sorted by key."""
-    histogram = table.groupBy(F.col(count).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(FREQUENT).collect()
+    histogram = table.groupBy(F.col(count).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(FREQUENT).toArrow()
     least, kept = None, 0
-    for row in histogram:
-        kept += row["n"]
+    for c, n in zip(histogram.column("c").to_pylist(), histogram.column("n").to_pylist(), strict=True):
+        kept += n
         if kept > FREQUENT:
             break
-        least = row["c"]
+        least = c
     if least is None:
         return table.limit(0).select("key", "value").toArrow()
     return table.filter(F.col(count) >= least).select("key", "value").toArrow().sort_by("key")
