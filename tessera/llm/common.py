@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -17,16 +16,20 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]"
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a local test session) a temporary folder is made and set.
+    Only where that is unset (a local test session) a temporary folder is made.
     """
-    got = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SPARK_CHECKPOINT_DIR")
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="staged-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if got:
+        return got.rstrip("/")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="staged-"))
+    return _own_folder[0]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
