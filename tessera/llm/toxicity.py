@@ -4,8 +4,9 @@ Features are the presence of hashed byte n-grams of the lower-cased text in a ta
 The log-count ratio of a feature, ln(share of toxic texts that have it / share of the others), scales
 its column; a logistic regression with an L2 penalty is fitted on the scaled columns.
 
-The model is learned from at most TRAIN_ROWS labelled rows (a documented bound, drawn by a hash of the
-identifier) and holds at most FEATURES weights; every whole text is scored.
+The model is learned from about TRAIN_TOXIC toxic and TRAIN_CLEAN other labelled rows at most (documented
+bounds, drawn by a hash of the identifier; the intercept is set back to the shares of all labels) and
+holds at most FEATURES weights; every whole text is scored.
 
 Defined cases: a null or empty text has no feature and gets the score of the intercept; several labels
 of one identifier count as toxic if one is; labels other than 0 and 1 are left out; with one class or
@@ -27,8 +28,9 @@ from . import textbytes as tb
 
 SIZES = (4, 5, 6, 7, 8)
 BITS = 20
-TRAIN_ROWS = 16_000
-FEATURES = 1 << 15
+TRAIN_TOXIC = 3_000
+TRAIN_CLEAN = 5_000
+FEATURES = 1 << 14
 MIN_TEXTS = 3
 L2 = 1.0
 _FOLD = tb.LOWER.copy()
@@ -72,8 +74,9 @@ def hits(offs, buf, wanted: np.ndarray | None):
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
-def chosen_labels(labels: DataFrame, rows: int, held_out) -> DataFrame:
-    """doc_id, toxic of at most about ``rows`` labelled documents that are not held out."""
+def chosen_labels(labels: DataFrame, held_out) -> tuple[DataFrame, float]:
+    """doc_id, toxic of a bounded draw of labelled documents that are not held out, and the log-odds
+    that the draw adds to those of all labels."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter("toxic in (0, 1) and doc_id is not null")
@@ -81,8 +84,11 @@ def chosen_labels(labels: DataFrame, rows: int, held_out) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    share = min(1.0, rows / max(1, known.count()))
-    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sides = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = {side: min(1.0, most / max(1, sides.get(side, 0))) for side, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))}
+    limit = F.when(F.col("toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
+    return drawn, float(np.log(share[1] / share[0]))
 
 
 def fit(texts: DataFrame) -> Model:
@@ -115,10 +121,11 @@ def fit(texts: DataFrame) -> Model:
         .withColumn("ratio", ratio)
         .orderBy(F.desc(F.abs("ratio") * F.sqrt(F.least("yes", "no") + F.greatest("yes", "no"))), "bucket")
         .limit(FEATURES)
-        .toPandas()
-        .sort_values("bucket")
+        .select("bucket", "ratio")
+        .toArrow()
+        .sort_by("bucket")
     )
-    buckets, ratios = top["bucket"].to_numpy(np.int64), top["ratio"].to_numpy(np.float64)
+    buckets, ratios = top.column("bucket").to_numpy(), top.column("ratio").to_numpy()
 
     def select(batches):
         wanted = np.zeros(1 << BITS, bool)
@@ -134,11 +141,11 @@ def fit(texts: DataFrame) -> Model:
                     ["toxic", "cols"],
                 )
 
-    got = texts.mapInArrow(select, "toxic int, cols array<int>").toPandas()
-    y = got["toxic"].to_numpy(np.float64)
-    sizes = np.array([len(c) for c in got["cols"]])
-    cols = np.concatenate([np.asarray(c, np.int64) for c in got["cols"]]) if sizes.sum() else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(y)), sizes)
+    got = texts.mapInArrow(select, "toxic int, cols array<int>").toArrow().combine_chunks()
+    y = got.column("toxic").to_numpy().astype(np.float64)
+    lists = got.column("cols").combine_chunks()
+    cols = lists.flatten().to_numpy()
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy())
     weights, intercept = logistic(rows, cols, ratios, y)
     return Model(buckets, weights * ratios, intercept)
 
@@ -201,7 +208,10 @@ def held_out(doc_id="doc_id"):
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     text = common.id_and_text(docs)
-    return fit(text.join(F.broadcast(chosen_labels(labels, TRAIN_ROWS, held_out())), "doc_id"))
+    drawn, added = chosen_labels(labels, held_out())
+    model = fit(text.join(F.broadcast(drawn), "doc_id"))
+    model.intercept -= added
+    return model
 
 
 def op9_toxicity(spark, sf_dir):
