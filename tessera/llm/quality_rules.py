@@ -31,7 +31,7 @@ RULES = (
     Rule("min_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbol_share", "100 * n_symbols > 10 * word_chars"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
 )
@@ -180,7 +180,7 @@ m as (select w.doc_id, len(ws)::bigint as n_words,
              coalesce(cover.n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines
       from w left join cover on w.doc_id = cover.doc_id),
 f as (select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int
-             + 4 * (100 * n_symbols > 10 * word_chars)::int + 8 * (100 * n_dup_lines > 30 * n_lines)::int
+             + 4 * (100 * n_symbols > 10 * word_chars)::int + 8 * (n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines)::int
              + 16 * (word_chars < 2 * n_words)::int + 32 * (word_chars > 20 * n_words)::int as bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (bits & 3) <> 0 as base_failed, bits = 0 as kept, n_lines, bits::int as fail_bits
