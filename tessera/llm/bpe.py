@@ -190,7 +190,7 @@ def encoded(docs, path: str):
                 yield pa.record_batch([batch.column(0).slice(lo, n), lists], ["doc_id", "ids"])
 
     text = common.id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInArrow(run, "doc_id long, ids array<int>")
+    return common.null_ids(text.mapInArrow(run, "doc_id long, ids array<int>"))
 
 
 def as_text(joined: bytes) -> bytes:
@@ -242,7 +242,7 @@ def round_trip(docs, path: str):
                 )
 
     text = common.id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.null_ids(text.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op6_bpe_round_trip(spark, sf_dir):

@@ -14,6 +14,10 @@ from ..shipping import ship
 #: White space that separates words, and its complement, as Java and DuckDB regular expressions.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]"
+#: Stands for a null identifier inside operators.
+LARGEST = (1 << 63) - 1
+RANGE_BYTES = 256 << 20
+MOST_RANGES = 50_000
 
 
 _own_folder: list[str] = []
@@ -63,16 +67,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator reads, so that no other column can clash with its own."""
+    """Only the two columns an operator reads, so that no other column can clash with its own.
+
+    A null identifier counts as the largest number inside operators; ``null_ids`` turns it back.
+    """
     ship(docs.sparkSession)
     return docs.select(
-        F.col(id_col).cast(T.LongType()).alias("doc_id"),
+        F.coalesce(F.col(id_col).cast(T.LongType()), F.lit(LARGEST)).alias("doc_id"),
         F.col(text_col).cast(T.StringType()).alias("text"),
     )
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def null_ids(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(LARGEST)) for c in columns or ("doc_id",)})
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges for a sort of ``df``: the session's shuffle partitions, or more if the input is large.
+
+    The optimizer's size estimate gives RANGE_BYTES of input to a range; MOST_RANGES bounds the
+    splitters on the driver (ranges beyond it grow, and their sorts spill).
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(MOST_RANGES, size // RANGE_BYTES))
 
 
 def let(value, body):

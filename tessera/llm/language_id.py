@@ -229,9 +229,8 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
                 spans = np.bincount(row, change, n).astype(np.int64)
                 yield pa.record_batch([batch.column(0).slice(lo, n), pa.array(names, pa.string()), pa.array(score), pa.array(spans)], ["doc_id", "lang_pred", "score", "n_spans"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double, n_spans long"
-    )
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return common.null_ids(text.mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long"))
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:

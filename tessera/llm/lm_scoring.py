@@ -375,7 +375,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
         )
     )
     zero = F.lit(0)
-    return rows.join(rest, "uid", "left").select(
+    out = rows.join(rest, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -385,6 +385,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
         (F.col("value") + F.coalesce("more_value", F.lit(0.0))).alias("score"),
         "n_bytes",
     )
+    return common.null_ids(out)
 
 
 def op7_lm_scoring(spark, sf_dir):

@@ -131,7 +131,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 def packed(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
     """Pieces of all documents with their place: sequence_id and offset."""
     pieces = tokenised_pieces(common.id_and_text(docs), path, size, end_id)
-    return pack(common.staged(pieces, "pieces"), size)
+    return common.null_ids(pack(common.staged(pieces, "pieces"), size))
 
 
 def sequences(docs: DataFrame, placed: DataFrame, path: str, size: int = SIZE, end_id: int = 1, pad_id: int = 0) -> DataFrame:
@@ -158,7 +158,7 @@ def sequences(docs: DataFrame, placed: DataFrame, path: str, size: int = SIZE, e
                 ["sequence_id", "offset", "ids"],
             )
 
-    spots = placed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("spots"))
+    spots = placed.groupBy(F.coalesce("doc_id", F.lit(common.LARGEST)).alias("doc_id")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("spots"))
     text = common.id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = text.join(spots, "doc_id").select("doc_id", "text", "spots")
     filled = parts.mapInArrow(fill, "sequence_id long, offset long, ids array<int>")

@@ -117,7 +117,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     bits = F.lit(0)
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(BIT[rule.name])).otherwise(F.lit(0)))
-    return rows.withColumn("fail_bits", bits)
+    return common.null_ids(rows.withColumn("fail_bits", bits))
 
 
 def apply_policy(rows: DataFrame, policy: str) -> DataFrame:

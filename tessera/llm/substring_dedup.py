@@ -84,8 +84,13 @@ def texts_of(column):
             yield lo + i, buf, starts[a:b], ends[a:b], hashes[a:b]
 
 
+def mark(column):
+    """Tells texts of one identifier apart."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit(""))).alias("mark")
+
+
 def digests(text: DataFrame) -> DataFrame:
-    """doc_id, n_words, key (SHA-256 of the joined words), anchors (distinct hashes)."""
+    """doc_id, mark (of the raw text), n_words, key (SHA-256 of the joined words), anchors (distinct hashes)."""
 
     def run(batches):
         for batch in batches:
@@ -95,8 +100,8 @@ def digests(text: DataFrame) -> DataFrame:
                 rows, n, keys, anchors = zip(*out, strict=True)
                 out.clear()
                 return pa.record_batch(
-                    [batch.column(0).take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(keys), pa.array(anchors, pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "key", "anchors"],
+                    [batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(keys), pa.array(anchors, pa.list_(pa.int64()))],
+                    ["doc_id", "mark", "n_words", "key", "anchors"],
                 )
 
             for row, buf, starts, ends, hashes in texts_of(batch.column(1)):
@@ -108,7 +113,8 @@ def digests(text: DataFrame) -> DataFrame:
             if out:
                 yield flush()
 
-    return text.mapInArrow(run, "doc_id long, n_words long, key string, anchors array<long>")
+    marked = text.select("doc_id", "text", mark("text"))
+    return marked.mapInArrow(run, "doc_id long, mark long, n_words long, key string, anchors array<long>")
 
 
 def located(hashes: list[np.ndarray], wanted: list[np.ndarray]) -> list[np.ndarray]:
@@ -225,7 +231,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     hit = common.staged(starts.join(shared.select("doc_id", "key"), "doc_id"), "covered")
     changed = cleaned(with_text(hit))
     # Texts that share an identifier are told apart by the digest of their words.
-    return rows.select("doc_id", "key", "n_words", "first_id"), common.staged(changed, "cleaned")
+    return rows.select("doc_id", "mark", "key", "n_words", "first_id"), common.staged(changed, "cleaned")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -233,23 +239,25 @@ def removed(docs: DataFrame) -> DataFrame:
     rows, changed = repeats(docs)
     changed = changed.select("doc_id", "key", F.col("n_removed").alias("cut"), F.sha2(F.col("kept_text"), 256).alias("sha")).dropDuplicates(["doc_id", "key"])
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)
-    return rows.join(changed, ["doc_id", "key"], "left").select(
+    out = rows.join(changed, ["doc_id", "key"], "left").select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("sha", "key")).alias("kept_sha256"),
     )
+    return common.null_ids(out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out of ``text``; other columns and texts unchanged."""
     rows, changed = repeats(docs)
     copies = rows.filter((F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)).select(
-        "doc_id", F.lit("").alias("kept_text")
+        "doc_id", "mark", F.lit("").alias("kept_text")
     )
-    new = changed.select("doc_id", "kept_text").union(copies).dropDuplicates(["doc_id"])
-    new = new.select(F.col("doc_id").alias("_cut_id"), F.col("kept_text").alias("_cut_text"))
-    cut = docs.join(new, docs["doc_id"] == new["_cut_id"], "left")
+    names = rows.select("doc_id", "key", "mark").distinct()
+    new = changed.dropDuplicates(["doc_id", "key"]).join(names, ["doc_id", "key"]).select("doc_id", "mark", "kept_text").union(copies.distinct())
+    new = new.select(F.col("doc_id").alias("_cut_id"), F.col("mark").alias("_cut_mark"), F.col("kept_text").alias("_cut_text"))
+    cut = docs.join(new, F.coalesce(docs["doc_id"].cast("long"), F.lit(common.LARGEST)).eqNullSafe(new["_cut_id"]) & (mark("text") == new["_cut_mark"]), "left")
     return cut.select(*[F.coalesce("_cut_text", "text").alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

@@ -115,7 +115,7 @@ class Segment:
 def segments(docs, path: str, end_id: int):
     """Segments of all documents, in ascending order of (part, nth)."""
     text = common.id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = text.repartitionByRange(common.bucket_count(docs.sparkSession), "doc_id").sortWithinPartitions(
+    ordered = text.repartitionByRange(common.range_count(docs), "doc_id").sortWithinPartitions(
         "doc_id", F.xxhash64("text")
     )
 
@@ -182,9 +182,8 @@ def read(spark, folder: str):
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.select("part", "ids_before", "blob").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    found = files.select("part", "ids_before", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.null_ids(found)
 
 
 def op8_token_files(spark, sf_dir):

@@ -181,7 +181,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                     [batch.column(0).slice(lo, len(offs) - 1), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"]
                 )
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return common.null_ids(text.mapInArrow(run, "doc_id long, score double"))
 
 
 def score_of(model: Model):

@@ -7,7 +7,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ke
 
 def rows(texts):
     """documents with extra columns whose names clash with the operators' own."""
-    return [(i, t, "en" if i % 2 else "fr", "s", len(t or ""), "k", 7, False, 3, "b", 1) for i, t in texts]
+    return [(i, t, "en" if (i or 0) % 2 else "fr", "s", len(t or ""), "k", 7, False, 3, "b", 1) for i, t in texts]
 
 
 @pytest.fixture(scope="session")
@@ -45,3 +45,10 @@ def repeated(spark, corpus):
     """Every row twice, ties everywhere."""
     some = corpus[:10] + corpus[-15:]
     return spark.createDataFrame(rows(some + some), SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def nameless(spark):
+    """Null identifiers: two rows with one text, one of them named; one row alone."""
+    text = "one two three four five six seven " * 10
+    return spark.createDataFrame(rows([(None, text), (4, text), (None, "alone here")]), SCHEMA)
