@@ -93,6 +93,16 @@ def range_count(df: DataFrame) -> int:
     return max(least, min(MOST_RANGES, size // RANGE_BYTES))
 
 
+def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with one row per key that was aggregated from them.
+
+    Joined on the keys alone, the aggregate's own shuffle would serve the join, and adaptive execution
+    splits a hot key only between two plain shuffles.  A derived key gives the join its own.
+    """
+    hashed = F.xxhash64(*keys).alias("_key")
+    return rows.select("*", hashed).join(groups.select("*", hashed), ["_key", *keys]).drop("_key")
+
+
 def let(value, body):
     """``body(value)`` with ``value`` evaluated once per row.
 

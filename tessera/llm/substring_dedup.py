@@ -209,11 +209,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     text = common.id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     seen = common.staged(digests(text), "digests")
     firsts = seen.groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    rows = common.staged(seen.join(firsts, "key"), "classes")
+    rows = common.staged(common.skew_join(seen, firsts, ["key"]), "classes")
     once = rows.filter("doc_id = first_id").select("doc_id", "key", F.explode("anchors").alias("anchor"))
     recurring = once.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("anchor")
     shared = common.staged(
-        once.join(recurring, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors")), "shared"
+        common.skew_join(once, recurring, ["anchor"]).groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors")), "shared"
     )
 
     def with_text(table: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
 
     found = windows(with_text(shared))
     owners = found.groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a", "b", "x")
-    covered = found.join(owners, ["a", "b"]).filter("doc_id > x")
+    covered = common.skew_join(found, owners, ["a", "b"]).filter("doc_id > x")
     starts = covered.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     hit = common.staged(starts.join(shared.select("doc_id", "key"), "doc_id"), "covered")
     changed = cleaned(with_text(hit))
