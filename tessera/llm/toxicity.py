@@ -31,6 +31,8 @@ BITS = 20
 TRAIN_TOXIC = 3_000
 TRAIN_CLEAN = 5_000
 FEATURES = 1 << 14
+#: Bytes of text worked on at once: five n-gram sizes hold some 100 bytes per byte of text.
+SLICE = 1 << 18
 MIN_TEXTS = 3
 L2 = 1.0
 _FOLD = tb.LOWER.copy()
@@ -99,7 +101,7 @@ def fit(texts: DataFrame) -> Model:
         seen = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             toxic = batch.column(1).to_numpy()
-            for lo, offs, buf in tb.slices(batch.column(0)):
+            for lo, offs, buf in tb.slices(batch.column(0), SLICE):
                 rows, buckets = hits(offs, buf, None)
                 side = toxic[lo + rows] == 1
                 seen[1] += np.bincount(buckets[side], minlength=1 << BITS).astype(np.int32)
@@ -132,7 +134,7 @@ def fit(texts: DataFrame) -> Model:
         wanted[buckets] = True
         for batch in batches:
             toxic = batch.column(1).to_numpy()
-            for lo, offs, buf in tb.slices(batch.column(0)):
+            for lo, offs, buf in tb.slices(batch.column(0), SLICE):
                 rows, found = hits(offs, buf, wanted)
                 cols = np.searchsorted(buckets, found).astype(np.int32)
                 cuts = np.searchsorted(rows, np.arange(len(offs))).astype(np.int32)
@@ -174,7 +176,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         weight[model.buckets] = model.weights
         wanted = weight != 0
         for batch in batches:
-            for lo, offs, buf in tb.slices(batch.column(1)):
+            for lo, offs, buf in tb.slices(batch.column(1), SLICE):
                 rows, found = hits(offs, buf, wanted)
                 z = np.bincount(rows, weight[found], len(offs) - 1) + model.intercept
                 yield pa.record_batch(
@@ -194,7 +196,7 @@ def score_of(model: Model):
         weight[model.buckets] = model.weights
         wanted = weight != 0
         out = [np.zeros(0)]
-        for _, offs, buf in tb.slices(texts.fill_null("")):
+        for _, offs, buf in tb.slices(texts.fill_null(""), SLICE):
             rows, found = hits(offs, buf, wanted)
             z = np.bincount(rows, weight[found], len(offs) - 1) + model.intercept
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
