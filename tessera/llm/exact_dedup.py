@@ -1,7 +1,9 @@
 """Exact duplicates by content sort, in DataFrame operations only.
 
 Sampled splitters range-partition the normalised text, each partition sorts it externally, and
-neighbouring rows are compared in full; the smallest identifier of a run of equal texts stays.
+neighbouring rows are compared in full; the smallest identifier of a run of equal texts stays.  A
+splitter holds the first HEAD characters of a text and a hash of the rest's order, so the sample that
+reaches the driver has short rows however long the texts are, and long common beginnings still split.
 
 A text with a large share of all rows would fill one range alone.  A sample of the rows finds such
 texts first (only to plan the work: no result depends on it).  Their sort key gets a salt, so a
@@ -25,6 +27,7 @@ from . import common
 SAMPLE_ROWS = 20_000
 HOT_HITS = 40
 SALTS = 64
+HEAD = 64
 
 
 def normalised(text):
@@ -48,7 +51,6 @@ def hot_texts(docs: DataFrame, rows: int) -> list[int]:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
     docs = common.id_and_text(docs, id_col, text_col)
-    spark = docs.sparkSession
     hot = hot_texts(docs, docs.count())
     text = docs.select("doc_id", normalised(F.col("text")).alias("body"))
     salt = F.lit(0)
@@ -56,12 +58,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         salt = F.when(
             F.xxhash64("body").isin(hot), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
         ).otherwise(F.lit(0))
-    key = ["body", "salt"]
-    run = Window.partitionBy(*key)
+    # The range keys come first in the sort; the full text follows, so a run has equal texts only.
+    # (A constant salt is no range key: it would hide that the ranges already hold whole runs.)
+    key = ["head", "mark", "salt"] if hot else ["head", "mark"]
+    run = Window.partitionBy(*key, "body")
     ordered = run.orderBy("doc_id")
     sorted_rows = (
-        text.withColumn("salt", salt)
-        .repartitionByRange(common.bucket_count(spark), *key)
+        text.withColumns({"salt": salt, "head": F.substring("body", 1, HEAD), "mark": F.xxhash64("body")})
+        .repartitionByRange(common.range_count(docs), *key)
         .select(
             "doc_id",
             "salt",
@@ -71,7 +75,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.row_number().over(ordered).alias("at"),
             "body",
         )
-    )
+    ).drop("head", "mark")
     if not hot:
         found = sorted_rows.withColumnRenamed("run_id", "keep_id").withColumnRenamed("run_size", "group_size")
     else:
@@ -93,13 +97,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.coalesce("all_id", "run_id").alias("keep_id"),
             F.coalesce("all_size", "run_size").alias("group_size"),
         )
-    return found.select(
+    out = found.select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("doc_id") == F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
+    return common.null_ids(out, "doc_id", "keep_id")
 
 
 def op3_exact_dedup(spark, sf_dir):
