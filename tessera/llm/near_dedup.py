@@ -38,6 +38,10 @@ from .components import components
 BINS = 128
 ROWS = 4
 CENTRES = 3
+#: Signature filter of edges, see ``plausible``.
+SURE, PLAUSIBLE = 200, 0.6
+#: Up to so many edges their ends (16 MB of identifiers) are broadcast to thin out the sets.
+BROADCAST_EDGES = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(71))
 _DONORS = np.stack([_rng.permutation(BINS) for _ in range(BINS)])
 _ROW_ODD = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,6 +87,11 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
+def sig_bytes(sig: np.ndarray) -> np.ndarray:
+    """One byte per bin: enough to estimate a similarity, an eighth of the signature to ship."""
+    return (tb.mix(sig) >> np.uint64(56)).astype(np.uint8)
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; the band is part of the key."""
     parts = tb.mix(sig.reshape(len(sig), BINS // ROWS, ROWS) * _ROW_ODD)
@@ -90,14 +99,18 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits that name the set), bands."""
+    """doc_id, n_shingles, set_a, set_b (128 bits that name the set), bands, sig (a byte per bin)."""
 
     def run(batches):
         for batch in batches:
             for lo, offs, buf in tb.slices(batch.column(1)):
                 sets = list(shingles(offs, buf, size))
                 some = [s for s in sets if len(s)]
-                bands = band_keys(signature(some)) if some else np.zeros((0, BINS // ROWS), np.int64)
+                sig = signature(some)
+                bands = band_keys(sig)
+                packed = sig_bytes(sig).tobytes()
+                ends = (np.cumsum([len(s) > 0 for s in sets]) * BINS).tolist()
+                sigs = [packed[e - BINS : e] if len(s) else b"" for s, e in zip(sets, ends, strict=True)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 a = np.array([tb.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 b = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
@@ -109,11 +122,12 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                         pa.array(a),
                         pa.array(b),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(bands.ravel())),
+                        pa.array(sigs, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -133,6 +147,33 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def plausible(edges: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges (center, member, small) without those of large sets whose signatures differ too much.
+
+    From SURE shingles on, a pair at similarity 0.8 agrees on fewer than PLAUSIBLE of the bins with a chance
+    under 1e-5 (4.4 standard deviations); smaller sets are cheap and all go on.
+    """
+
+    def run(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 4))
+            keep = ((one == two).mean(axis=1) >= PLAUSIBLE) | (batch.column(2).to_numpy() < SURE)
+            yield pa.record_batch([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["center", "member"])
+
+    a = sigs.select(F.col("rep").alias("center"), F.col("sig").alias("x"))
+    b = sigs.select(F.col("rep").alias("member"), F.col("sig").alias("y"))
+    both = edges.join(b, "member").join(a, "center").select("center", "member", "small", "x", "y")
+    return both.mapInArrow(run, "center long, member long")
+
+
+def sets_of(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets at the ends of a staged table of edges."""
+    ends = edges.select(F.explode(F.array("center", "member")).alias("doc_id")).distinct()
+    if edges.count() <= BROADCAST_EDGES:
+        ends = F.broadcast(ends)
+    return sets.join(ends, "doc_id", "left_semi")
+
+
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (center, member) whose full sets reach the similarity."""
     one = sets.select(F.col("doc_id").alias("center"), F.col("shingles").alias("x"))
@@ -148,16 +189,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = common.staged(sketches(text, size), "sketches")
     named = ["set_a", "set_b", "n_shingles"]
     classes = common.staged(
-        sketch.filter("n_shingles > 0").groupBy(*named).agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-        .select(*named, F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")),
+        sketch.filter("n_shingles > 0").groupBy(*named).agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r"))
+        .select(*named, F.col("r.doc_id").alias("rep"), "r.bands", "r.sig"),
         "classes",
     )
     buckets = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    live = common.staged(buckets.join(shared, "bucket"), "buckets")
+    live = common.staged(common.skew_join(buckets, shared, ["bucket"]), "buckets")
     # Company of each class over its buckets, with a hash to settle ties.
     company = common.staged(
-        live.groupBy("rep").agg((-F.sum("n") * (1 << 20) - F.pmod(F.xxhash64("rep"), F.lit(1 << 20))).alias("order")), "company"
+        live.groupBy("rep")
+        .agg((-F.sum("n") * (1 << 20) - F.pmod(F.xxhash64("rep"), F.lit(1 << 20))).alias("order"))
+        .join(classes.select("rep", "sig"), "rep"),
+        "company",
     )
     chosen = company.select(F.col("rep").alias("doc_id"))
     sets = common.staged(full_sets(text.join(chosen, "doc_id", "left_semi"), size), "sets")
@@ -166,12 +210,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     turn = 0
     while True:
         if turn == 0:
-            placed = live.join(company, "rep").withColumn("component_id", F.col("rep"))
+            placed = live.join(company.select("rep", "order"), "rep").withColumn("component_id", F.col("rep"))
             orders = [F.col("order")]
         else:
-            placed = live.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-                "component_id", F.coalesce("component_id", "rep")
-            )
+            placed = live.withColumn("component_id", F.col("rep"))
+            if reached is not None:
+                placed = live.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+                    "component_id", F.coalesce("component_id", "rep")
+                )
             # The same order in all buckets: buckets of one group then share centres, and so edges.
             orders = [F.xxhash64("rep", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
         centre = F.struct(F.col("rep").alias("center"), F.col("n_shingles").alias("n"), F.col("component_id").alias("c"))
@@ -185,20 +231,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .filter("least < most")
             .select("bucket", "centres")
         )
-        open_rows = common.staged(placed.join(stars, "bucket").select("bucket", "rep", "n_shingles", "component_id", "centres"), "open")
+        open_rows = common.staged(common.skew_join(placed, stars, ["bucket"]).select("bucket", "rep", "n_shingles", "component_id", "centres"), "open")
         edges = (
             open_rows.select("rep", "n_shingles", "component_id", F.explode("centres").alias("s"))
             .filter("component_id <> s.c")
             .filter(100 * F.least("n_shingles", "s.n") >= percent * F.greatest("n_shingles", "s.n"))
-            .select(F.greatest("rep", "s.center").alias("center"), F.least("rep", "s.center").alias("member"))
+            .select(F.greatest("rep", "s.center").alias("center"), F.least("rep", "s.center").alias("member"), F.least("n_shingles", "s.n").alias("small"))
             .distinct()
         )
-        found = common.staged(confirmed(edges, sets, percent), "links")
+        likely = common.staged(plausible(edges, company), "edges")
+        found = common.staged(confirmed(likely, sets_of(likely, sets), percent), "links")
         more = found.limit(1).count() > 0
         if more:
             links = found if links is None else links.union(found)
             reached = components(links, "center", "member")
-        if reached is None or (turn and not more):
+        if (turn and not more) or not open_rows.limit(1).count():
             break
         live = open_rows.select("bucket", "rep", "n_shingles")
         turn += 1
@@ -208,7 +255,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = grouped.select(*named, F.coalesce("component_id", "rep").alias("component_id"))
     found = sketch.select("doc_id", *named).join(grouped, named, "left")
     own = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    out = found.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    return common.null_ids(out, "doc_id", "component_id")
 
 
 def op10_near_dedup(spark, sf_dir):
