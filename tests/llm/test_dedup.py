@@ -99,3 +99,15 @@ def test_near_groups_of_repeated_and_empty(repeated, empty):
     rows = near_dedup.near_groups(repeated).collect()
     assert len(rows) == repeated.count()
     assert near_dedup.near_groups(empty).count() == 0
+
+
+def test_a_pair_that_no_first_centre_meets(spark):
+    """Three texts share buckets; only the two that are not the first centre are linked."""
+    words = [f"w{i}" for i in range(200)]
+    one = words[:100] + [f"x{i}" for i in range(30)]
+    two = words[:100] + [f"y{i}" for i in range(30)]
+    three = two[:-2] + ["z", "z"]
+    texts = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(three))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(df).collect()}
+    assert got == components(texts, 4, 80) and got[3][1] == 2
