@@ -6,15 +6,16 @@ bins copy a filled bin chosen by a fixed random order per bin (optimal densifica
 make a band; documents that agree on a band share a bucket.  Documents with equal sets are one class
 and enter buckets once.
 
-A bucket of m classes gives star-shaped candidate edges: at most m - 1 for each centre.  The first
-centre is the most popular class, the one with the most company over all its buckets: the original of
-many edited copies is nearer to each of them than they are to each other.  Edges are confirmed on full
-sets and links are contracted to components.  Buckets that still hold two components get CENTRES more
-stars a pass, around classes drawn by a hash, and only edges between different components are tested.
-Passes go on until one of them finds no link or no bucket is left.  So buckets of up to CENTRES + 2
-classes are compared completely and larger ones by stars, linear in their size; no bucket is expanded
-into its pairs.  What stars cannot promise is that a bucket of very many classes, none of them near
-its centres, holds no further pair; README gives the recall measured against brute force.
+A bucket of m classes gives a star: at most m - 1 candidate edges to one centre.  The first centre is the
+most popular class, the one with the most company over all its buckets: the original of many edited
+copies is nearer to each of them than they are to each other.  Edges are confirmed on full sets and
+links are contracted to components.  Buckets that still hold two components get further stars around
+classes drawn by a hash of class and bucket, while a pass contracts a SHRINK-th of the open classes.
+
+Stars only contract.  What they leave in open buckets is settled exactly, see ``rest``: two sets reach the
+similarity only if they share a shingle in their prefixes, the rarest shingles first, and every pair
+of different components that does is confirmed on full sets.  So each pair of near copies that shares
+a bucket ends in one component, however many classes the bucket has.
 
 Two sets with similarity s miss each other in all buckets with chance (1 - s^4)^32: 4.6e-8 at 0.8.
 
@@ -37,7 +38,10 @@ from .components import components
 
 BINS = 128
 ROWS = 4
-CENTRES = 3
+#: Stars are drawn again while a pass links at least one in SHRINK of the open classes.
+SHRINK = 8
+#: Counters of shingles by hash: they order the shingles, any order gives the same pairs.
+COUNTERS = 1 << 20
 #: Signature filter of edges, see ``plausible``.
 SURE, PLAUSIBLE = 200, 0.6
 #: Up to so many edges their ends (16 MB of identifiers) are broadcast to thin out the sets.
@@ -183,6 +187,74 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("center", "member")
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in the sets, by COUNTERS hash values."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(flat & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            yield pa.record_batch([pa.array(some), pa.array(total[some])], ["at", "n"])
+
+    got = sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.uint32)
+    counts[got.column(0).to_numpy()] = np.minimum(got.column(1).to_numpy(), (1 << 32) - 1)
+    return counts
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """rep, component_id, n, token, at: the shingles that come first in the order, rare ones before common ones."""
+
+    def run(batches):
+        for batch in batches:
+            out, held = [], 0
+            reps, marks, lists = (batch.column(i) for i in range(3))
+            edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for row, (rep, own_mark) in enumerate(zip(reps.to_pylist(), marks.to_pylist(), strict=True)):
+                own = flat[edges[row] : edges[row + 1]]
+                first = np.lexsort((own, counts[own & (COUNTERS - 1)]))[: len(own) - -(-percent * len(own) // 100) + 1]
+                n = len(first)
+                out.append((np.full(n, rep), np.full(n, own_mark), np.full(n, len(own)), own[first], np.arange(n)))
+                held += n
+                if held >= 1 << 16 or row == len(reps) - 1:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "component_id", "n", "token", "at"])
+                    out, held = [], 0
+
+    return sets.select("rep", "component_id", "shingles").mapInArrow(run, "rep long, component_id long, n long, token long, at long")
+
+
+def rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (center, member) between different components of ``left`` (rep, component_id): all of them.
+
+    With shingles in one order, the first that two sets share has at least as many behind it in both as
+    the sets must share.  That bounds its place: in the larger set within the first 20 % (at 80 percent), in the
+    smaller within the first 11 %.  Sets just under the similarity differ in more than that, so in a
+    group with a common template these places hold few of the template's shingles.
+    """
+    held = common.staged(left.join(sets, left["rep"] == sets["doc_id"]).select("rep", "component_id", "shingles"), "rest")
+    tokens = common.staged(prefixes(held, shingle_counts(held), percent), "prefixes")
+    mixed = tokens.groupBy("token").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).filter("least < most").select("token")
+    tokens = common.staged(common.skew_join(tokens, mixed, ["token"]), "tokens")
+    one = tokens.filter((100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n"))
+    one = one.select("token", F.struct("rep", "component_id", "n", "at").alias("x"))
+    two = tokens.select("token", F.struct("rep", "component_id", "n", "at").alias("y"))
+    pairs = (
+        one.join(two, "token")
+        .filter("x.n < y.n or (x.n = y.n and x.rep < y.rep)")
+        .filter("x.component_id <> y.component_id")
+        .filter(100 * F.col("x.n") >= percent * F.col("y.n"))
+        .filter((100 + percent) * F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) >= percent * F.expr("x.n + y.n"))
+        .select(F.greatest("x.rep", "y.rep").alias("center"), F.least("x.rep", "y.rep").alias("member"))
+        .distinct()
+    )
+    edges = common.staged(pairs, "rest-edges")
+    return common.staged(confirmed(edges, sets_of(edges, sets), percent), "rest-links")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     text = common.id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -205,35 +277,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     chosen = company.select(F.col("rep").alias("doc_id"))
     sets = common.staged(full_sets(text.join(chosen, "doc_id", "left_semi"), size), "sets")
-    live = live.select("bucket", "rep", "n_shingles")
+    placed = live.join(company.select("rep", "order"), "rep").select("bucket", "rep", "n_shingles", F.col("rep").alias("component_id"), "order")
     links = reached = None
     turn = 0
     while True:
-        if turn == 0:
-            placed = live.join(company.select("rep", "order"), "rep").withColumn("component_id", F.col("rep"))
-            orders = [F.col("order")]
-        else:
-            placed = live.withColumn("component_id", F.col("rep"))
-            if reached is not None:
-                placed = live.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-                    "component_id", F.coalesce("component_id", "rep")
-                )
-            # The same order in all buckets: buckets of one group then share centres, and so edges.
-            orders = [F.xxhash64("rep", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
         centre = F.struct(F.col("rep").alias("center"), F.col("n_shingles").alias("n"), F.col("component_id").alias("c"))
-        stars = (
-            placed.groupBy("bucket")
-            .agg(
-                F.min("component_id").alias("least"),
-                F.max("component_id").alias("most"),
-                F.array_distinct(F.array(*[F.min_by(centre, o) for o in orders])).alias("centres"),
-            )
-            .filter("least < most")
-            .select("bucket", "centres")
-        )
-        open_rows = common.staged(common.skew_join(placed, stars, ["bucket"]).select("bucket", "rep", "n_shingles", "component_id", "centres"), "open")
+        stars = placed.groupBy("bucket").agg(F.min_by(centre, F.col("order")).alias("s"))
         edges = (
-            open_rows.select("rep", "n_shingles", "component_id", F.explode("centres").alias("s"))
+            common.skew_join(placed.drop("order"), stars, ["bucket"])
             .filter("component_id <> s.c")
             .filter(100 * F.least("n_shingles", "s.n") >= percent * F.greatest("n_shingles", "s.n"))
             .select(F.greatest("rep", "s.center").alias("center"), F.least("rep", "s.center").alias("member"), F.least("n_shingles", "s.n").alias("small"))
@@ -241,14 +292,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         likely = common.staged(plausible(edges, company), "edges")
         found = common.staged(confirmed(likely, sets_of(likely, sets), percent), "links")
-        more = found.limit(1).count() > 0
-        if more:
+        gained = found.count()
+        if gained:
             links = found if links is None else links.union(found)
             reached = components(links, "center", "member")
-        if (turn and not more) or not open_rows.limit(1).count():
+            placed = placed.select("bucket", "rep", "n_shingles").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
+            placed = placed.withColumn("component_id", F.coalesce("component_id", "rep"))
+        mixed = placed.groupBy("bucket").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).filter("least < most").select("bucket")
+        placed = common.staged(common.skew_join(placed.select("bucket", "rep", "n_shingles", "component_id"), mixed, ["bucket"]), "open")
+        left = placed.select("rep", "component_id").distinct()
+        if SHRINK * gained < left.count() or not gained:
             break
-        live = open_rows.select("bucket", "rep", "n_shingles")
         turn += 1
+        placed = placed.withColumn("order", F.xxhash64("rep", "bucket", F.lit(turn)))
+    if left.limit(1).count():
+        found = rest(left, sets, percent)
+        if found.limit(1).count():
+            links = found if links is None else links.union(found)
+            reached = components(links, "center", "member")
     if reached is None:
         reached = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component_id")).limit(0)
     grouped = classes.select(*named, "rep").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
