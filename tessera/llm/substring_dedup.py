@@ -139,11 +139,11 @@ def located(hashes: list[np.ndarray], wanted: list[np.ndarray]) -> list[np.ndarr
 
 
 def windows(candidates: DataFrame) -> DataFrame:
-    """a, b (128 bits of a window), doc_id, start: windows that hold a recurring phrase."""
+    """a, b (128 bits of a window), doc_id, part, start: windows that hold a recurring phrase."""
 
     def emit(names, hashes, wanted):
         parts = []
-        for name, words, spots in zip(names, hashes, located(hashes, wanted), strict=True):
+        for (name, part), words, spots in zip(names, hashes, located(hashes, wanted), strict=True):
             n = len(words) - WINDOW + 1
             if n < 1 or not len(spots):
                 continue
@@ -153,19 +153,19 @@ def windows(candidates: DataFrame) -> DataFrame:
             np.add.at(step, np.minimum(spots + 1, n), -1)
             starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
             one, two = tb.window_hashes(words, WINDOW), tb.window_hashes(words, WINDOW, 1)
-            parts.append((one[starts].view(np.int64), two[starts].view(np.int64), np.full(len(starts), name, np.int64), starts.astype(np.int32)))
+            parts.append((one[starts].view(np.int64), two[starts].view(np.int64), np.full(len(starts), name, np.int64), np.full(len(starts), part, np.int64), starts.astype(np.int32)))
         if parts:
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
             for i in range(0, len(cols[0]), 1 << 16):
-                yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], ["a", "b", "doc_id", "start"])
+                yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], ["a", "b", "doc_id", "part", "start"])
 
     def run(batches):
         for batch in batches:
             names, hashes, wanted, held = [], [], [], 0
-            ids = batch.column(0)
+            ids, own = batch.column(0), batch.column(3)
             lists = batch.column(2)
             for row, _, _, _, words in texts_of(batch.column(1)):
-                names.append(ids[row].as_py())
+                names.append((ids[row].as_py(), own[row].as_py()))
                 hashes.append(words)
                 wanted.append(np.asarray(lists[row].values).view(np.uint64))
                 held += len(words)
@@ -174,7 +174,7 @@ def windows(candidates: DataFrame) -> DataFrame:
                     names, hashes, wanted, held = [], [], [], 0
             yield from emit(names, hashes, wanted)
 
-    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "a long, b long, doc_id long, start int")
+    return candidates.select("doc_id", "text", "anchors", "part").mapInArrow(run, "a long, b long, doc_id long, part long, start int")
 
 
 def cleaned(candidates: DataFrame) -> DataFrame:
@@ -187,7 +187,6 @@ def cleaned(candidates: DataFrame) -> DataFrame:
             for row, buf, starts, ends, _ in texts_of(batch.column(1)):
                 step = np.zeros(len(starts) + 1, np.int64)
                 at = np.unique(np.asarray(starts_of[row].values))
-                at = at[at + WINDOW <= len(starts)]  # another text of the same identifier may be shorter
                 step[at] += 1
                 step[at + WINDOW] -= 1
                 keep = np.cumsum(step[:-1]) == 0
@@ -210,27 +209,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     seen = common.staged(digests(text), "digests")
     firsts = seen.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     rows = common.staged(common.skew_join(seen, firsts, ["key"]), "classes")
-    once = rows.filter("doc_id = first_id").select("doc_id", "key", F.explode("anchors").alias("anchor"))
+    once = rows.filter("doc_id = first_id").select("doc_id", "mark", "key", F.explode("anchors").alias("anchor"))
     recurring = once.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("anchor")
-    shared = common.staged(
-        common.skew_join(once, recurring, ["anchor"]).groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors")), "shared"
+    held = common.staged(
+        common.skew_join(once, recurring, ["anchor"]).groupBy("doc_id", "mark", "key").agg(F.collect_set("anchor").alias("anchors")), "held"
     )
+    # Texts that share an identifier are told apart by their part: 0 for an only text, so that it packs well.
+    least = held.groupBy("doc_id").agg(F.min("mark").alias("least"))
+    parted = common.skew_join(held, least, ["doc_id"]).withColumn("part", F.col("mark").bitwiseXOR(F.col("least"))).drop("least")
+    shared = common.staged(parted, "shared")
 
     def with_text(table: DataFrame) -> DataFrame:
-        """Texts of the identifiers in a table, joined to it."""
+        """Texts in a table, joined to it."""
         few = table.select("doc_id").distinct()
-        source = text
+        source = text.select("doc_id", "text", mark("text"))
         if table.count() <= BROADCAST_IDS:
-            source = text.join(F.broadcast(few), "doc_id", "left_semi")
-        return source.join(table, "doc_id")
+            source = source.join(F.broadcast(few), "doc_id", "left_semi")
+        return source.join(table, ["doc_id", "mark"])
 
     found = windows(with_text(shared))
     owners = found.groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a", "b", "x")
     covered = common.skew_join(found, owners, ["a", "b"]).filter("doc_id > x")
-    starts = covered.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    hit = common.staged(starts.join(shared.select("doc_id", "key"), "doc_id"), "covered")
+    starts = covered.groupBy("doc_id", "part").agg(F.collect_set("start").alias("starts"))
+    hit = common.staged(starts.join(shared.select("doc_id", "part", "mark", "key"), ["doc_id", "part"]), "covered")
     changed = cleaned(with_text(hit))
-    # Texts that share an identifier are told apart by the digest of their words.
     return rows.select("doc_id", "mark", "key", "n_words", "first_id"), common.staged(changed, "cleaned")
 
 

@@ -25,3 +25,18 @@ def test_null_identifiers(spark, nameless, tmp_path):
     tables.append(language_id.predictions(nameless, language_id.learned(nameless)))
     for table in tables:
         assert ids(table) == want
+
+
+def test_passages_of_nameless_texts_are_not_mixed(spark):
+    """Two texts without an identifier, each with another passage of a named one."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    one, two = words("p", 60), words("q", 70)
+    named = " ".join(one + words("m", 20) + two)
+    first = words("a", 15) + one + words("b", 25)
+    second = words("c", 40) + two + words("d", 5)
+    texts = [(3, named), (None, " ".join(first)), (None, " ".join(second))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed) for r in substring_dedup.removed(docs).collect())
+    assert got == [(100, 60), (115, 70), (150, 0)]
+    cut = {r.text for r in substring_dedup.without_repeats(docs).collect()}
+    assert cut == {named, " ".join(words("a", 15) + words("b", 25)), " ".join(words("c", 40) + words("d", 5))}
