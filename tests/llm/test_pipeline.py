@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from test_dedup import components, kept_words
+from test_dedup import components, kept_words, template_pairs
 
 
 def small(rnd):
@@ -52,3 +52,10 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert any(cut[i][1] for i in cut)
     assert {r.doc_id for r in now.collect()} == set(after)
     assert corpus_pipeline.run(spark, folder).count() == now.count()
+
+
+def test_near_stage_of_a_large_template_group(spark):
+    texts = template_pairs(5)
+    want = {i for i, (_, _, kept) in components(texts, 5, 80).items() if kept}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert len(want) == 144 and {r.doc_id for r in corpus_pipeline.near_out(spark, docs, "").collect()} == want
