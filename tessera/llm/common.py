@@ -26,11 +26,13 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a local test session) a temporary folder is made.
+    Only a local session without that setting (tests) gets a temporary folder; a cluster is an error.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="staged-"))
     return _own_folder[0]
@@ -69,7 +71,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that no other column can clash with its own.
 
-    A null identifier counts as the largest number inside operators; ``null_ids`` turns it back.
+    A null identifier counts as the largest number (LARGEST) inside operators; ``null_ids`` turns it back.
+    So LARGEST itself is reserved: a row that carries it is a row without an identifier.
     """
     ship(docs.sparkSession)
     return docs.select(
@@ -82,6 +85,12 @@ def null_ids(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(LARGEST)) for c in columns or ("doc_id",)})
 
 
+def held_out(doc_id: str, parts: int, part: int):
+    """Whether crc32 of the identifier as text falls in a part; a row without an identifier is not held out."""
+    name = F.nullif(F.col(doc_id), F.lit(LARGEST)).cast("string")
+    return F.coalesce(F.pmod(F.crc32(name), F.lit(parts)) == part, F.lit(False))
+
+
 def range_count(df: DataFrame) -> int:
     """Ranges for a sort of ``df``: the session's shuffle partitions, or more if the input is large.
 

@@ -1,6 +1,7 @@
 """Language identification: script ranges, per-word scores, Viterbi with a switching penalty.
 
-The script of a word's letters narrows its candidate languages to those that use the script.  Each
+Letters and their scripts are read off the code points (Unicode categories L, with marks M after a letter).
+The script of a word's first letter narrows its candidate languages to those that use the script.  Each
 candidate scores the word by the log-probabilities of its hashed byte n-grams (word borders included).
 Viterbi then labels the words of a text: changing the language between two words costs SWITCH nats, so
 stray words do not break a span and a passage in another language makes its own span.  The text's
@@ -10,13 +11,15 @@ The model is learned from at most TRAIN_ROWS documents (a documented bound, draw
 identifier) and has a fixed number of buckets; every whole text is labelled.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without training rows
-every text is ``und``; repeated rows are labelled one by one; an empty table gives an empty result; no
-other column is read.
+every text is ``und``; repeated rows are labelled one by one; a row without an identifier is not held
+out; an empty table gives an empty result; no other column is read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +36,21 @@ SWITCH = 8.0
 BATCH_BYTES = 1 << 22
 UNKNOWN = "und"
 
-#: UTF-8 lead bytes by script; 0 is no letter.
+#: Scripts by the first code point of their main blocks; letters elsewhere are "other".
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "kana", "han", "hangul", "other")
-_LEAD = np.zeros(256, np.int8)
-_LEAD[0x41:0x5B] = _LEAD[0x61:0x7B] = _LEAD[0xC3:0xCA] = 1
-_LEAD[0xCD:0xD0] = 2
-_LEAD[0xD0:0xD4] = 3
-_LEAD[0xD6:0xD8] = 4
-_LEAD[0xD8:0xDC] = 5
-_LEAD[0xE0] = 6
-_LEAD[0xE3] = 7
-_LEAD[0xE4:0xEA] = 8
-_LEAD[0xEA:0xEE] = 9
-_LEAD[0xCA:0xCD] = _LEAD[0xD4:0xD6] = _LEAD[0xDC:0xE0] = _LEAD[0xE1] = _LEAD[0xF0:0xF5] = 10
-#: Letters and the bytes inside them stay, everything else ends a word.
+BLOCKS = {
+    "latin": [(0x41, 0x250), (0x1E00, 0x1F00), (0x2C60, 0x2C80), (0xA720, 0xA800), (0xFF21, 0xFF5B)],
+    "greek": [(0x370, 0x400), (0x1F00, 0x2000)],
+    "cyrillic": [(0x400, 0x530), (0x1C80, 0x1C90), (0x2DE0, 0x2E00), (0xA640, 0xA6A0)],
+    "hebrew": [(0x590, 0x600), (0xFB1D, 0xFB50)],
+    "arabic": [(0x600, 0x700), (0x750, 0x780), (0x8A0, 0x900), (0xFB50, 0xFE00), (0xFE70, 0xFF00)],
+    "indic": [(0x900, 0xE00)],
+    "kana": [(0x3040, 0x3100), (0x31F0, 0x3200), (0xFF66, 0xFFA0)],
+    "han": [(0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32400)],
+    "hangul": [(0x1100, 0x1200), (0x3130, 0x3190), (0xAC00, 0xD7B0)],
+}
+#: In the table of code points: a mark, which goes on with the word of the letter before it.
+MARK = -1
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -63,18 +67,48 @@ class Model:
     uses: np.ndarray
 
 
+@cache
+def letters() -> np.ndarray:
+    """Script number of each code point that is a letter, MARK of a mark, 0 of anything else."""
+    kinds = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
+    out = np.where(kinds == "L", SCRIPTS.index("other"), np.where(kinds == "M", MARK, 0)).astype(np.int8)
+    for script, blocks in BLOCKS.items():
+        for lo, hi in blocks:
+            own = out[lo:hi]
+            own[own > 0] = SCRIPTS.index(script)
+    return out
+
+
 def words(offs: np.ndarray, buf: np.ndarray):
-    """Lower-cased letters, (start, end) of each word, first word of each row."""
-    low = _FOLD[buf].copy()
+    """Lower-cased letters, (start, end) of each word, first word of each row, script of each word."""
+    low = _FOLD[buf]
     at = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] < 0x9F)) + 1 if len(buf) else np.zeros(0, np.int64)
-    low[at] += 0x20
-    # General punctuation and signs (U+0080-00BF, U+2000-2BFF) are no letters.
-    for lead, size in ((0xC2, 2), (0xE2, 3)):
-        sign = np.flatnonzero(buf == lead)
-        for k in range(size):
-            low[sign + k] = 0x20
+    low[at[buf[at] != 0x97]] += 0x20
+    # Characters beyond ASCII: code point, number of bytes, kind.
+    leads = np.flatnonzero(buf >= 0xC0)
+    first_byte = buf[leads].astype(np.int64)
+    size = 2 + (first_byte >= 0xE0) + (first_byte >= 0xF0)
+    point = first_byte & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        point[more] = point[more] << 6 | (buf[leads[more] + k] & 0x3F)
+    kind = letters()[point]
+    if (kind == MARK).any():
+        before = np.where(leads > 0, _FOLD[buf[leads - 1]], 0x20)
+        fresh = (before < 0x80) | np.isin(leads, offs)  # no character beyond ASCII of the same row stands before
+        letter_before = (before < 0x80) & (before != 0x20) & ~np.isin(leads, offs)
+        own = np.where(kind != MARK, kind != 0, letter_before)
+        known = np.maximum.accumulate(np.where((kind != MARK) | fresh, np.arange(len(kind)), 0))
+        kind = np.where(kind != MARK, kind, np.where(own[known], MARK, 0))
+    for k in range(4):
+        none = (kind == 0) & (size > k)
+        low[leads[none] + k] = 0x20
     starts, ends, first = tb.word_spans(offs, low)
-    return low, starts, ends, first
+    script = np.full(len(starts), SCRIPTS.index("latin"), np.int64)
+    if len(leads):
+        beyond = buf[starts] >= 0x80
+        script[beyond] = kind[np.searchsorted(leads, starts[beyond])]
+    return low, starts, ends, first, script
 
 
 def grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -114,14 +148,14 @@ def fit(docs: DataFrame) -> Model:
         for batch in batches:
             lang = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             for lo, offs, buf in tb.slices(batch.column(0)):
-                low, starts, ends, first = words(offs, buf)
+                low, starts, ends, first, script = words(offs, buf)
                 if not len(starts):
                     continue
                 of_word = np.repeat(lang[lo : lo + len(offs) - 1], np.diff(first))
                 for bucket, word in grams(low, starts, ends):
                     for i in np.unique(of_word):
                         seen[i] += np.bincount(bucket[of_word[word] == i], minlength=1 << BITS).astype(np.int32)
-                np.add.at(used, (of_word, _LEAD[low[starts]]), 1)
+                np.add.at(used, (of_word, script), 1)
         for i in range(len(langs)):
             at = np.flatnonzero(seen[i])
             keys = np.concatenate([at, -1 - np.arange(len(SCRIPTS))])
@@ -141,14 +175,14 @@ def fit(docs: DataFrame) -> Model:
     return Model(langs, np.ascontiguousarray(table.T, np.float32), uses >= 0.001 * uses.sum(axis=1, keepdims=True))
 
 
-def emissions(model: Model, low, starts, ends) -> np.ndarray:
+def emissions(model: Model, low, starts, ends, script) -> np.ndarray:
     """Score of each word in each language; all zero where no language uses its script."""
     out = np.zeros((len(starts), len(model.langs)), np.float32)
     for bucket, word in grams(low, starts, ends):
         rows = model.table[bucket]
         for i in range(len(model.langs)):
             out[:, i] += np.bincount(word, rows[:, i], len(starts)).astype(np.float32)
-    allowed = model.uses[:, _LEAD[low[starts]]].T
+    allowed = model.uses[:, script].T
     out[~allowed] -= 1e3
     out[~allowed.any(axis=1)] = 0
     return out
@@ -161,9 +195,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     begin, sizes = first[:-1][order], sizes[order]
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), "left")
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int32)
     stay = np.zeros(scores.shape, bool)
-    source = np.zeros(len(scores), np.int8)
+    source = np.zeros(len(scores), np.int32)
     now = np.zeros((len(sizes), scores.shape[1]), np.float32)
     for t in range(longest):
         n = active[t]
@@ -177,7 +211,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
             live = np.where(kept, live, change[:, None])
         live = live + scores[at]
         now[:n] = live - live.max(axis=1, keepdims=True)
-    lang = now.argmax(axis=1).astype(np.int8)
+    lang = now.argmax(axis=1).astype(np.int32)
     for t in range(longest - 1, -1, -1):
         n = active[t]
         at = begin[:n] + t
@@ -190,21 +224,21 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
 
 def labelled(model: Model, column):
     """Yield (first row, first word of each row, label, start, end of each word, text offsets)."""
-    for lo, offs, buf in tb.slices(column, BATCH_BYTES):
+    for lo, offs, buf in tb.slices(column, max(tb.SLICE_BYTES, 8 * BATCH_BYTES // max(8, len(model.langs)))):
         parts, firsts, spans, base = [], [np.zeros(1, np.int64)], [], 0
         rows = 0
         while rows < len(offs) - 1:
             upto = max(rows + 1, int(np.searchsorted(offs, offs[rows] + tb.SLICE_BYTES, "right")) - 1)
             own, piece = offs[rows : upto + 1] - offs[rows], buf[offs[rows] : offs[upto]]
-            low, starts, ends, first = words(own, piece)
-            parts.append(emissions(model, low, starts, ends) if len(starts) else np.zeros((0, len(model.langs)), np.float32))
+            low, starts, ends, first, script = words(own, piece)
+            parts.append(emissions(model, low, starts, ends, script) if len(starts) else np.zeros((0, len(model.langs)), np.float32))
             firsts.append(first[1:] + base)
             spans.append((starts + offs[rows], ends + offs[rows]))
             base += len(starts)
             rows = upto
         first = np.concatenate(firsts)
         scores = np.concatenate(parts)
-        path = viterbi(scores, first, SWITCH) if scores.size else np.zeros(len(scores), np.int8)
+        path = viterbi(scores, first, SWITCH) if scores.size else np.zeros(len(scores), np.int32)
         starts, ends = (np.concatenate(x) for x in zip(*spans, strict=True))
         yield lo, offs, buf, first, path, starts, ends
 
@@ -262,15 +296,15 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    return common.held_out("doc_id", 3, 1)
 
 
 def learned(docs: DataFrame) -> Model:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
+        F.col("lang").isNotNull() & ~held_out()
     )
     share = min(1.0, TRAIN_ROWS / max(1, known.count()))
-    return fit(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    return fit(known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))))
 
 
 def op4_language_id(spark, sf_dir):

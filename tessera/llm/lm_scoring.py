@@ -389,4 +389,4 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
 
 
 def op7_lm_scoring(spark, sf_dir):
-    return scored(common.documents(spark, sf_dir), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2)
+    return scored(common.documents(spark, sf_dir), common.held_out("doc_id", 7, 2))

@@ -137,6 +137,8 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1) -> Dat
 def sequences(docs: DataFrame, placed: DataFrame, path: str, size: int = SIZE, end_id: int = 1, pad_id: int = 0) -> DataFrame:
     """The token arrays themselves: sequence_id, ids (padded to ``size``), n_ids before padding.
 
+    A sequence whose length is a power of two is not padded.
+
     Documents meet their places by identifier, which must be unique here; ids are made again
     instead of being carried through the packing.
     """
@@ -164,11 +166,9 @@ def sequences(docs: DataFrame, placed: DataFrame, path: str, size: int = SIZE, e
     filled = parts.mapInArrow(fill, "sequence_id long, offset long, ids array<int>")
     whole = filled.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     ids = F.flatten(F.transform("p", lambda x: x["ids"]))
-    return whole.select(
-        "sequence_id",
-        F.concat(ids, F.array_repeat(F.lit(pad_id), F.lit(size) - F.size(ids))).alias("ids"),
-        F.size(ids).alias("n_ids"),
-    )
+    whole = whole.select("sequence_id", ids.alias("ids"), F.size(ids).alias("n_ids"))
+    missing = F.when(F.bit_count("n_ids") == 1, 0).otherwise(F.lit(size) - F.col("n_ids"))
+    return whole.select("sequence_id", F.concat("ids", F.array_repeat(F.lit(pad_id), missing)).alias("ids"), "n_ids")
 
 
 def op5_packing(spark, sf_dir):

@@ -1,13 +1,16 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, lm_scoring, toxicity
+from tessera.llm import textbytes as tb
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -175,3 +178,113 @@ def test_scores_of_empty_and_untrained(docs, empty, spark):
     got = {r.doc_id: r for r in lm_scoring.scored(one, F.lit(True)).collect()}
     assert abs(got[1].score - 3 * 8 * math.log10(0.5)) < 1e-9 and abs(got[2].score - 8 * math.log10(0.5)) < 1e-9
     assert (got[1].base_score, got[1].n_known, got[1].train_tokens) == (0.0, 0, 0)
+
+
+def bucket_of(gram, steps, codes, bits):
+    h = len(gram)
+    for step, c in zip(steps, gram, strict=False):
+        h = (h + int(codes(c)) * int(step)) % (1 << 64)
+    return int(tb.mix(np.array([h], np.uint64))[0]) >> (64 - bits)
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Weights of a plain logistic regression on sets of character n-grams, one text at a time."""
+    monkeypatch.setattr(toxicity, "PASSES", 80)
+    rnd = random.Random(2)
+    clean = ["".join(rnd.choices("abcdeéж漢", k=4)) for _ in range(40)]
+    texts = [" ".join(rnd.choices(clean, k=12)) for _ in range(60)]
+    toxic = [int(i % 4 == 0) for i in range(60)]
+    texts = [t + "\tВздор Ünfug" * y for t, y in zip(texts, toxic, strict=True)]
+    rows = [(i, t, y) for i, (t, y) in enumerate(zip(texts, toxic, strict=True))]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("text", "toxic"))
+
+    code = lambda c: tb.mix(np.array([ord(c) + 1], np.uint64))[0]
+
+    def grams(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\n\v\f\r" else c for c in text)
+        return {bucket_of(low[k : k + n], toxicity._STEP, code, toxicity.BITS) for n in toxicity.SIZES for k in range(len(low) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    names = sorted(set().union(*sets))
+    x = np.array([[b in s for b in names] for s in sets], float)
+    y = np.array(toxic)
+    ratio = np.log((x[y == 1].sum(axis=0) + 0.5) / (y.sum() + 1)) - np.log((x[y == 0].sum(axis=0) + 0.5) / ((1 - y).sum() + 1))
+    kernel, a, b = (x * ratio) @ (x * ratio).T, np.zeros(60), 0.0
+    for _ in range(200):  # Newton's method for miss + L2 a = 0, sum of misses = 0; weights are scaled.T @ a
+        p = 1 / (1 + np.exp(-(kernel @ a + b)))
+        slope = p * (1 - p)
+        matrix = np.block([[slope[:, None] * kernel + toxicity.L2 * np.eye(60), slope[:, None]], [slope[None, :] @ kernel, slope.sum()[None, None]]])
+        move = np.linalg.solve(matrix, -np.append(p - y + toxicity.L2 * a, (p - y).sum()))
+        a, b = a + 0.5 * move[:-1], b + 0.5 * move[-1]
+    want = 1 / (1 + np.exp(-(kernel @ a + b)))
+    got = {r.doc_id: r.score for r in toxicity.scores(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), model).collect()}
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-3
+
+
+def test_very_long_texts_have_the_features_of_their_whole(monkeypatch):
+    rnd = random.Random(3)
+    text = "".join(rnd.choices("abcé漢🙂 \n", k=5000))
+    whole = sorted(next(toxicity.features(pa.array([text]))).tolist())
+    monkeypatch.setattr(toxicity, "PIECE", 301)
+    assert sorted(next(toxicity.features(pa.array([text]))).tolist()) == whole
+
+
+def split_words(text):
+    out, now = [], ""
+    for c in text or "":
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or kind == "M" and now:
+            now += c
+        else:
+            out, now = out + [now] * bool(now), ""
+    return out + [now] * bool(now)
+
+
+def test_language_query_against_brute_force(spark):
+    """Words, scores, narrowing, path and share of one text at a time; the learned table is taken as it is."""
+    rnd = random.Random(4)
+    vocab = {"en": ["the", "With", "thing", "water"], "fr": ["où", "Été", "leur", "être"], "ru": ["это", "вода", "Слово"], "hi": ["क्या", "पानी", "है"]}
+    rows = [(i, " ".join(rnd.choices(vocab[lang], k=20)), lang) for i, lang in enumerate(rnd.choices(list(vocab), k=160))]
+    odd = ["🙂", "。、", "×÷", "٣٤", "ªº", "漢字", "", None, "́", "été 漢字 вода " * 3, "the the où où où это"]
+    odd += [" ".join(rnd.choices([w for v in vocab.values() for w in v] + ["1", "×", "🙂"], k=25)) for _ in range(40)]
+    docs = spark.createDataFrame(rows + [(1000 + k, t, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string")
+    model = language_id.learned(docs)
+    got = {r.doc_id: r for r in language_id.predictions(docs.select("doc_id", "text"), model).collect()}
+    low = str.maketrans({chr(c): chr(c + 32) for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]})
+    for i, text, _ in rows + [(1000 + k, t, None) for k, t in enumerate(odd)]:
+        words = split_words(text)
+        if not words:
+            assert (got[i].lang_pred, got[i].score, got[i].n_spans) == ("und", 0.0, 0), text
+            continue
+        scores = []
+        for w in words:
+            data = b" " + w.translate(low).encode() + b" "
+            row = np.zeros(len(model.langs))
+            for n in language_id.SIZES:
+                for k in range(len(data) - n + 1):
+                    row += model.table[bucket_of(data[k : k + n], language_id._STEP, lambda c: tb._BYTE[c], language_id.BITS)]
+            uses = model.uses[:, language_id.letters()[ord(w[0])]]
+            scores.append(np.where(uses, row, row - 1e3) if uses.any() else row * 0)
+        _, path = brute_path([s.tolist() for s in scores], language_id.SWITCH)
+        letters = np.bincount(path, [len(w.encode()) for w in words], len(model.langs))
+        assert got[i].lang_pred == model.langs[letters.argmax()], text
+        assert abs(got[i].score - letters.max() / letters.sum()) < 1e-9
+
+
+def test_many_languages_keep_their_numbers():
+    scores = np.zeros((6, 200), np.float32)
+    scores[:, 150] = 1
+    assert language_id.viterbi(scores, np.array([0, 6]), 1.0).tolist() == [150] * 6
+
+
+def test_held_out_rules_of_the_queries(spark, tmp_path):
+    """The registered queries hold out by crc32 of the identifier; a row without one is not held out."""
+    from tessera.llm import queries
+
+    rows = [(i, f"text number {i} with words " * 4, "en" if i % 2 else "fr", "s", 9) for i in range(60)] + [(None, "nameless words", "en", "s", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 3 // 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    made = queries.queries()
+    for name, parts, part in (("op4_language_id", 3, 1), ("op7_lm_scoring", 7, 2), ("op9_toxicity", 5, 0)):
+        got = {r.doc_id: r.held_out for r in made[name](spark, f"file://{tmp_path}").collect()}
+        assert got == {i: i is not None and zlib.crc32(str(i).encode()) % parts == part for i, *_ in rows}, name

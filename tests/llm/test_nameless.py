@@ -21,7 +21,7 @@ def test_null_identifiers(spark, nameless, tmp_path):
     token_files.write(nameless, f"file://{tmp_path}/t", word)
     tables = [exact, near, cut, token_files.read(spark, f"file://{tmp_path}/t"), quality_rules.ledger(nameless), bpe.round_trip(nameless, byte), packing.packed(nameless, byte)]
     tables.append(lm_scoring.scored(nameless, F.lit(False)))
-    tables.append(toxicity.scores(nameless, toxicity.Model(toxicity.np.zeros(0, toxicity.np.int64), toxicity.np.zeros(0), 0.0)))
+    tables.append(toxicity.scores(nameless, toxicity.Model(toxicity.np.zeros(0), 0.0)))
     tables.append(language_id.predictions(nameless, language_id.learned(nameless)))
     for table in tables:
         assert ids(table) == want

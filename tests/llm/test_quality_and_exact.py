@@ -59,11 +59,21 @@ def test_exact_groups_against_brute_force(docs, corpus):
 def test_hot_text_is_split_and_joined_again(spark):
     texts = [(i, "hot  text" if i % 3 else f"text {i % 50}") for i in range(900)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
-    assert exact_dedup.hot_texts(df, 900)
+    bodies = df.select(exact_dedup.normalised(F.col("text")).alias("body"))
+    assert exact_dedup.hot_texts(bodies, 4).count()
     want = {i: (min(ids), len(ids)) for ids in groups(texts).values() for i in ids}
     assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()} == want
 
 
+def test_rows_of_one_identifier(spark):
+    """Of equal rows one stays, and a rejected text stays rejected beside another text of its identifier."""
+    rows = [(3, "dup", "a"), (5, "own", "b"), (5, "dup", "c"), (7, "same", "d"), (7, "same", "d"), (None, "dup", "e"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    assert sorted(exact_dedup.kept_rows(df).collect(), key=str) == sorted([rows[0], rows[1], rows[3], rows[6]], key=str)
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()]
+    assert sorted(got, key=str) == sorted([(3, 3, 3, True), (5, 5, 1, True), (5, 3, 3, False), (7, 7, 2, True), (7, 7, 2, False), (None, 3, 3, False), (None, None, 1, True)], key=str)
+
+
 def test_repeated_and_empty(repeated, empty):
     rows = exact_dedup.exact_groups(repeated).collect()
     assert len(rows) == repeated.count()
