@@ -5,14 +5,17 @@ smaller identifier.
 
 1. Anchors.  Of the PHRASE-word phrases inside each window the one with the smallest hash is its
    anchor, so equal windows have equal anchors wherever they stand.  About 2 phrases in 27 are anchors.
-2. Confirmation.  An anchor recurs if documents with different identifiers have it; a window that
-   recurs has an anchor that recurs, so other documents need no further look.
-3. Automata.  Documents meet their recurring phrases by identifier.  Each block of documents compiles
-   the phrases it has been dealt into one automaton over word numbers (its shard) and streams its
-   documents through it, which locates every occurrence of every phrase.
-4. Windows.  The windows around occurrences are compared by 128-bit hashes: the smallest identifier of
-   each hash is aggregated before the join, so a passage that very many documents share is a skewed
-   join, which adaptive execution splits, and never one group.
+   Documents without an anchor that a document with another identifier has can hold no recurring window.
+2. Confirmation.  The words of the anchors that recur are compared: a phrase of which two documents with
+   different identifiers have the same words is confirmed.  Its owner is the smallest of them.
+3. Automata.  Confirmed phrases are dealt into shards of about SHARD_PHRASES by their owner, and every
+   document is routed to the shards of its phrases, in slices of about SLICE_WORDS words.  A task reads
+   the phrases of a shard, compiles them into one automaton over words, and streams the documents of
+   its slice through it, which locates every occurrence.  So a phrase that very many documents share
+   makes more slices, never a larger task.
+4. Windows.  The windows around occurrences are staged as runs and compared by 128-bit hashes: the
+   smallest identifier of each hash is aggregated before the join, so a passage that very many documents
+   share is a skewed join, which adaptive execution splits, and never one group.
 
 Documents with equal words are one class: only the smallest identifier goes through 1 to 4, the others
 are covered completely (from WINDOW words on).
@@ -36,8 +39,11 @@ from . import textbytes as tb
 
 WINDOW = 50
 PHRASE = 25
-#: Identifiers up to this many (16 MB) are broadcast to thin out the texts; beyond, texts are joined.
-BROADCAST_IDS = 2_000_000
+#: Phrases of a shard (some 25 MB as an automaton), and words of a slice of its documents.
+SHARD_PHRASES = 10_000
+SLICE_WORDS = 1 << 20
+#: Rows of three identifiers up to this many (16 MB) are broadcast to thin out the texts; beyond, texts are joined.
+BROADCAST_IDS = 500_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -117,64 +123,103 @@ def digests(text: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, "doc_id long, mark long, n_words long, key string, anchors array<long>")
 
 
-def located(hashes: list[np.ndarray], wanted: list[np.ndarray]) -> list[np.ndarray]:
-    """Positions of recurring phrases in each text of a block, by one automaton over the block."""
-    if not hashes:
-        return []
-    _, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
-    numbers = np.split(numbers, np.cumsum([len(h) for h in hashes])[:-1])
-    shard = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    streams = []
-    for own, words, phrases in zip(numbers, hashes, wanted, strict=True):
-        stream = tuple(own.tolist())
-        streams.append(stream)
-        of_text = tb.window_hashes(words, PHRASE)
-        spots = anchor_starts(of_text, WINDOW - PHRASE + 1)
-        for p in spots[np.isin(of_text[spots], phrases)].tolist():
-            shard.add_word(stream[p : p + PHRASE], 1)
-    if not len(shard):
-        return [np.zeros(0, np.int64)] * len(hashes)
-    shard.make_automaton()
-    return [np.array([end - PHRASE + 1 for end, _ in shard.iter(s)], np.int64) for s in streams]
-
-
-def windows(candidates: DataFrame) -> DataFrame:
-    """a, b (128 bits of a window), doc_id, part, start: windows that hold a recurring phrase."""
-
-    def emit(names, hashes, wanted):
-        parts = []
-        for (name, part), words, spots in zip(names, hashes, located(hashes, wanted), strict=True):
-            n = len(words) - WINDOW + 1
-            if n < 1 or not len(spots):
-                continue
-            # A window that starts at s holds the phrase at p if p - (WINDOW - PHRASE) <= s <= p.
-            step = np.zeros(n + 1, np.int64)
-            np.add.at(step, np.minimum(np.maximum(spots - (WINDOW - PHRASE), 0), n), 1)
-            np.add.at(step, np.minimum(spots + 1, n), -1)
-            starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-            one, two = tb.window_hashes(words, WINDOW), tb.window_hashes(words, WINDOW, 1)
-            parts.append((one[starts].view(np.int64), two[starts].view(np.int64), np.full(len(starts), name, np.int64), np.full(len(starts), part, np.int64), starts.astype(np.int32)))
-        if parts:
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            for i in range(0, len(cols[0]), 1 << 16):
-                yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], ["a", "b", "doc_id", "part", "start"])
+def phrases_of(candidates: DataFrame) -> DataFrame:
+    """doc_id, anchor, phrase: the words of each text's recurring anchors."""
 
     def run(batches):
         for batch in batches:
-            names, hashes, wanted, held = [], [], [], 0
-            ids, own = batch.column(0), batch.column(3)
-            lists = batch.column(2)
-            for row, _, _, _, words in texts_of(batch.column(1)):
-                names.append((ids[row].as_py(), own[row].as_py()))
-                hashes.append(words)
-                wanted.append(np.asarray(lists[row].values).view(np.uint64))
-                held += len(words)
-                if held > 400_000:
-                    yield from emit(names, hashes, wanted)
-                    names, hashes, wanted, held = [], [], [], 0
-            yield from emit(names, hashes, wanted)
-
-    return candidates.select("doc_id", "text", "anchors", "part").mapInArrow(run, "a long, b long, doc_id long, part long, start int")
+            ids, lists, out = batch.column(0).to_pylist(), batch.column(2), []
+            for row, buf, starts, ends, words in texts_of(batch.column(1)):
+                phrases = tb.window_hashes(words, PHRASE)
+                spots = anchor_starts(phrases, WINDOW - PHRASE + 1)
+                spots = spots[np.isin(phrases[spots], np.asarray(lists[row].values).view(np.uint64))]
+                _, first = np.unique(phrases[spots], return_index=True)
+                for p in spots[first].tolist():
+                    out.append((ids[row], int(phrases[p : p + 1].view(np.int64)[0]), joined(buf, starts[p : p + PHRASE], ends[p : p + PHRASE]).decode()))
+                if len(out) >= 10_000:
+                    yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "anchor", "phrase"])
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "anchor", "phrase"])
+
+    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "doc_id long, anchor long, phrase string")
+
+
+def letters(words: np.ndarray) -> tuple[int, ...]:
+    """Words as letters of an automaton; equal words are equal letters, and windows are compared in full later."""
+    return tuple((words >> np.uint64(32)).tolist())
+
+
+class Shard:
+    """The automaton of a shard: phrases first, then texts."""
+
+    def __init__(self):
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.open = True
+
+    def add(self, words: np.ndarray) -> None:
+        self.automaton.add_word(letters(words))
+
+    def locate(self, words: np.ndarray) -> np.ndarray:
+        """Starts of all occurrences of the shard's phrases."""
+        if not len(self.automaton):
+            return np.zeros(0, np.int64)
+        if self.open:
+            self.automaton.make_automaton()
+            self.open = False
+        return np.array([end - PHRASE + 1 for end, _ in self.automaton.iter(letters(words))], np.int64)
+
+
+def window_starts(spots: np.ndarray, n_words: int) -> np.ndarray:
+    """Starts of the windows that hold a phrase at one of the spots."""
+    n = n_words - WINDOW + 1
+    if n < 1 or not len(spots):
+        return np.zeros(0, np.int64)
+    # A window that starts at s holds the phrase at p if p - (WINDOW - PHRASE) <= s <= p.
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.minimum(np.maximum(spots - (WINDOW - PHRASE), 0), n), 1)
+    np.add.at(step, np.minimum(spots + 1, n), -1)
+    return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+
+
+def streamed(dealt: DataFrame) -> DataFrame:
+    """doc_id, part, start, a, b: runs of windows (128 bits each) that hold a confirmed phrase.
+
+    ``dealt`` (shard, slice, kind, doc_id, part, body) has the phrases (kind 0) of a shard before the
+    texts (kind 1) of a slice, sorted so in each partition.
+    """
+
+    def run(batches):
+        at, shard = None, None
+        for batch in batches:
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            ids, parts, out, held = batch.column(3).to_pylist(), batch.column(4).to_pylist(), [], 0
+            for row, _, _, _, words in texts_of(batch.column(5)):
+                *place, kind = places[row]
+                if place != at:
+                    at, shard = place, Shard()
+                if not kind:
+                    shard.add(words)
+                    continue
+                starts = window_starts(shard.locate(words), len(words))
+                if not len(starts):
+                    continue
+                one, two = (tb.window_hashes(words, WINDOW, salt)[starts].view(np.int64) for salt in (0, 1))
+                cuts = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
+                for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)], strict=True):
+                    out.append((ids[row], parts[row], int(starts[lo]), one[lo:hi], two[lo:hi]))
+                held += len(starts)
+                if held > 1 << 17:
+                    yield runs_of(out)
+                    out, held = [], 0
+            if out:
+                yield runs_of(out)
+
+    def runs_of(out):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "part", "start", "a", "b"])
+
+    return dealt.mapInArrow(run, "doc_id long, part long, start int, a array<long>, b array<long>")
 
 
 def cleaned(candidates: DataFrame) -> DataFrame:
@@ -209,31 +254,56 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     seen = common.staged(digests(text), "digests")
     firsts = seen.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     rows = common.staged(common.skew_join(seen, firsts, ["key"]), "classes")
-    once = rows.filter("doc_id = first_id").select("doc_id", "mark", "key", F.explode("anchors").alias("anchor"))
+    name = ["doc_id", "mark", "key", "n_words"]
+    once = rows.filter("doc_id = first_id").select(*name, F.explode("anchors").alias("anchor"))
     recurring = once.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("anchor")
-    held = common.staged(
-        common.skew_join(once, recurring, ["anchor"]).groupBy("doc_id", "mark", "key").agg(F.collect_set("anchor").alias("anchors")), "held"
-    )
+    held = common.staged(common.skew_join(once, recurring, ["anchor"]).groupBy(*name).agg(F.collect_set("anchor").alias("anchors")), "held")
     # Texts that share an identifier are told apart by their part: 0 for an only text, so that it packs well.
     least = held.groupBy("doc_id").agg(F.min("mark").alias("least"))
     parted = common.skew_join(held, least, ["doc_id"]).withColumn("part", F.col("mark").bitwiseXOR(F.col("least"))).drop("least")
-    shared = common.staged(parted, "shared")
-
-    def with_text(table: DataFrame) -> DataFrame:
-        """Texts in a table, joined to it."""
-        few = table.select("doc_id").distinct()
-        source = text.select("doc_id", "text", mark("text"))
-        if table.count() <= BROADCAST_IDS:
-            source = source.join(F.broadcast(few), "doc_id", "left_semi")
-        return source.join(table, ["doc_id", "mark"])
-
-    found = windows(with_text(shared))
-    owners = found.groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a", "b", "x")
-    covered = common.skew_join(found, owners, ["a", "b"]).filter("doc_id > x")
-    starts = covered.groupBy("doc_id", "part").agg(F.collect_set("start").alias("starts"))
-    hit = common.staged(starts.join(shared.select("doc_id", "part", "mark", "key"), ["doc_id", "part"]), "covered")
-    changed = cleaned(with_text(hit))
-    return rows.select("doc_id", "mark", "key", "n_words", "first_id"), common.staged(changed, "cleaned")
+    source = text.select("doc_id", "text", mark("text"))
+    if held.count() <= BROADCAST_IDS:
+        source = source.join(F.broadcast(held.select("doc_id").distinct()), "doc_id", "left_semi")
+    candidates = common.staged(source.join(parted, ["doc_id", "mark"]), "candidates")
+    found = common.staged(streamed(dealt_out(candidates)), "runs")
+    windows = found.select("doc_id", "part", "start", F.posexplode(F.arrays_zip("a", "b"))).select(
+        F.col("col.a").alias("a"), F.col("col.b").alias("b"), "doc_id", "part", (F.col("start") + F.col("pos")).alias("start")
+    )
+    owners = windows.groupBy("a", "b").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a", "b", "x")
+    covered = common.skew_join(windows, owners, ["a", "b"]).filter("doc_id > x")
+    starts = common.staged(covered.groupBy("doc_id", "part").agg(F.collect_set("start").alias("starts")), "covered")
+    changed = common.staged(cleaned(candidates.join(starts, ["doc_id", "part"])), "cleaned")
+    common.release(docs.sparkSession, seen, held, candidates, found, starts)
+    return rows.select("doc_id", "mark", "key", "n_words", "first_id"), changed
+
+
+def dealt_out(candidates: DataFrame) -> DataFrame:
+    """shard, slice, kind, doc_id, part, body: phrases and texts, each slice of a shard in one partition."""
+    phrases = common.staged(
+        phrases_of(candidates).groupBy("anchor", "phrase").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).filter("owner < most").drop("most"),
+        "phrases",
+    )
+    shards = max(1, phrases.count() // SHARD_PHRASES)
+    phrases = phrases.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
+    routed = common.staged(
+        candidates.select("doc_id", "mark", "part", "n_words", F.explode("anchors").alias("anchor"))
+        .join(phrases.select("anchor", "shard").distinct(), "anchor")
+        .groupBy("doc_id", "mark", "part", "n_words")
+        .agg(F.collect_set("shard").alias("shards")),
+        "routed",
+    )
+    each = routed.select("doc_id", "mark", "part", "n_words", F.explode("shards").alias("shard"))
+    # One row per shard; a shard with many words has many slices.
+    sizes = common.staged(each.groupBy("shard").agg((1 + F.floor(F.sum("n_words") / SLICE_WORDS)).cast("int").alias("slices")), "slices")
+    small = F.broadcast if shards <= BROADCAST_IDS else (lambda df: df)
+    keys = phrases.join(small(sizes), "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("part"), F.col("phrase").alias("body")
+    )
+    spots = each.join(small(sizes), "shard").select("doc_id", "part", "shard", F.pmod(F.xxhash64("doc_id", "mark"), F.col("slices")).cast("int").alias("slice"))
+    if routed.count() <= BROADCAST_IDS:
+        spots = F.broadcast(spots)
+    texts = candidates.select("doc_id", "part", "text").join(spots, ["doc_id", "part"]).select("shard", "slice", F.lit(1).alias("kind"), "doc_id", "part", F.col("text").alias("body"))
+    return keys.union(texts).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind")
 
 
 def removed(docs: DataFrame) -> DataFrame:
