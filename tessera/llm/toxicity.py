@@ -30,7 +30,7 @@ from . import common
 from . import textbytes as tb
 
 SIZES = (3, 4, 5, 6)
-BITS = 20
+BITS = 19
 TRAIN_TOXIC = 3_000
 TRAIN_CLEAN = 5_000
 #: Tasks that the bounded draw is read by.
@@ -39,7 +39,7 @@ PARTS = 8
 PIECE = 1 << 18
 L2 = 1.0
 #: L-BFGS: most passes over the draw, and how many steps it remembers.
-PASSES, MEMORY = 16, 6
+PASSES, MEMORY = 16, 4
 _STEP = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, max(SIZES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -132,9 +132,10 @@ def summed(rows: DataFrame, add, kinds: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.record_batch([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([few.tolist()], pa.list_(pa.float64()))], ["total", "few"])
 
     total, few = np.zeros((kinds, 1 << BITS)), np.zeros(2)
-    for row in rows.coalesce(PARTS).mapInArrow(run, "total binary, few array<double>").collect():
-        total += np.frombuffer(row["total"], np.float32).reshape(total.shape)
-        few += row["few"]
+    got = rows.coalesce(PARTS).mapInArrow(run, "total binary, few array<double>").toArrow()
+    for blob, own in zip(*got.columns, strict=True):
+        total += np.frombuffer(blob.as_buffer(), np.float32).reshape(total.shape)
+        few += own.as_py()
     return total, few
 
 
@@ -220,8 +221,9 @@ def lbfgs(value_and_slope, at: np.ndarray) -> np.ndarray:
             break
         move, turn = size * way, new_slope - slope
         if move @ turn > 1e-12:
-            steps = [*steps, (move, turn)][-MEMORY:]
+            steps = [*steps, (move.astype(np.float32), turn.astype(np.float32))][-MEMORY:]
         at, value, slope = at + move, new_value, new_slope
+        del way, move, turn
     return at
 
 
