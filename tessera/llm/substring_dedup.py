@@ -303,7 +303,11 @@ def dealt_out(candidates: DataFrame) -> DataFrame:
     if routed.count() <= BROADCAST_IDS:
         spots = F.broadcast(spots)
     texts = candidates.select("doc_id", "part", "text").join(spots, ["doc_id", "part"]).select("shard", "slice", F.lit(1).alias("kind"), "doc_id", "part", F.col("text").alias("body"))
-    return keys.union(texts).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind")
+    # Slices go round the partitions, so that none gets several by chance while others get none.
+    total = sizes.agg(F.coalesce(F.sum("slices"), F.lit(0))).first()[0]
+    parts = max(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(common.MOST_RANGES, total))
+    place = F.pmod(F.xxhash64("shard") + F.col("slice"), F.lit(parts)).cast("int")
+    return keys.union(texts).repartitionById(parts, place).sortWithinPartitions("shard", "slice", "kind")
 
 
 def removed(docs: DataFrame) -> DataFrame:
