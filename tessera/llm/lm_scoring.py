@@ -35,12 +35,10 @@ from . import common
 from . import textbytes as tb
 
 DEPTH = 5
-FREQUENT = 1 << 19
-#: Slots (as a power of two) of the table that a task looks frequent keys up in; keys that lose a slot are joined.
-SLOTS = 20
+FREQUENT = 1 << 18
 SLICE = 1 << 20
 #: Distinct keys that a counting task holds before it hands them on.
-HELD = 1_500_000
+HELD = 1_000_000
 WORD, GRAM, END = 0, 1, 2
 LN_HALF = math.log(0.5)
 
@@ -80,20 +78,15 @@ class Tally:
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, keys, learned):
-        for train in (True, False):
-            own, n = np.unique(keys[learned == train], return_counts=True)
-            self.parts.append((own, n * train, n))
-            self.size += len(own)
+    def add(self, keys, train, every):
+        self.parts.append((keys, train, every))
+        self.size += len(keys)
 
     def merged(self):
-        keys, train, every = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        sums = [np.add.reduceat(x[order], at) if len(at) else x for x in (train, every)]
-        self.parts, self.size = [(keys[at], *sums)], len(at)
-        return keys[at], *sums
+        keys, where = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        sums = [np.bincount(where, np.concatenate([p[i] for p in self.parts]), len(keys)).astype(np.int64) for i in (1, 2)]
+        self.parts, self.size = [(keys, *sums)], len(keys)
+        return keys, *sums
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -120,8 +113,10 @@ def counted(docs: DataFrame) -> DataFrame:
                 own = train[lo : lo + len(offs) - 1]
                 ends += [own.sum(), len(own)]
                 for kind, keys, cuts in ((WORD, words, first), (GRAM, grams, at)):
-                    tally = tallies[kind]
-                    tally.add(keys, np.repeat(own, np.diff(cuts)))
+                    learned, tally = np.repeat(own, np.diff(cuts)), tallies[kind]
+                    for train in (True, False):
+                        some, n = np.unique(keys[learned == train], return_counts=True)
+                        tally.add(some, n * train, n)
                     if tally.size > 2 * HELD:
                         tally.merged()
                         if tally.size > HELD:
@@ -279,7 +274,7 @@ def with_top(rows: DataFrame, levels: list) -> DataFrame:
 
 
 def frequent(table: DataFrame, count: str) -> pa.Table:
-    """The rows with the highest counts, at most FREQUENT of them."""
+    """The rows with the highest counts, at most FREQUENT of them, sorted by key."""
     histogram = table.groupBy(F.col(count).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(FREQUENT).toArrow()
     least, kept = None, 0
     for c, n in zip(histogram.column("c").to_pylist(), histogram.column("n").to_pylist(), strict=True):
@@ -289,22 +284,7 @@ def frequent(table: DataFrame, count: str) -> pa.Table:
         least = c
     if least is None:
         return table.limit(0).select("key", "value").toArrow()
-    return table.filter(F.col(count) >= least).select("key", "value").toArrow()
-
-
-def slot_of(keys: np.ndarray) -> np.ndarray:
-    return (tb.mix(keys.view(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
-def hashed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values by slot.  A slot without a key holds one that belongs to another slot."""
-    keys, values = table.column("key").to_numpy(), table.column("value").to_numpy()
-    names, found = np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS)
-    home = slot_of(names[:1])[0]
-    names[home] = next(k for k in range(1, 100) if slot_of(np.array([k]))[0] != home)
-    slots = slot_of(keys)
-    names[slots], found[slots] = keys, values
-    return names, found
+    return table.filter(F.col(count) >= least).select("key", "value").toArrow().sort_by("key")
 
 
 def scored(docs: DataFrame, held_out) -> DataFrame:
@@ -326,13 +306,15 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
         values.join(counts.filter(f"kind = {GRAM}").select("key", "n_all"), "key").select("key", "value", "n_all"), "gram-values"
     )
     held = spark.sparkContext.broadcast(
-        (hashed(frequent(words, "n_all")), hashed(frequent(grams, "n_all")))
+        tuple((t.column("key").to_numpy(), t.column("value").to_numpy()) for t in (frequent(words, "n_all"), frequent(grams, "n_all")))
     )
     end_value, per_token = math.log10(ends + 1), math.log10(n + 1 * (v + 1))
 
     def look_up(table, keys):
         names, found = table
-        at = slot_of(keys)
+        if not len(names):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
         hit = names[at] == keys
         return np.where(hit, found[at], 0.0), hit
 
