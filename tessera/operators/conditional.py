@@ -74,7 +74,11 @@ def omissions(
     z_a: DataFrame, z_b: DataFrame, battles: DataFrame, prompt_types: DataFrame, candidates: DataFrame, key: str = "battle_id", min_battles: int = 300,
     min_expected: float = 0.15, min_shortfall: float = 0.05, min_norm: float = 0.8, min_gap: float = 0.1, min_wins: int = 200, p_values: bool = True,
 ) -> DataFrame:
-    """Per model, prompt type and candidate feature: how much less often it fires than for opponents."""
+    """Per model, prompt type and candidate feature: how much less often it fires than for opponents.
+
+    A battle of a model against itself counts once, as its side a.  Wins are those of decisive battles.
+    Cells whose opponents fire under ``min_expected`` are no cells, also not for the correction.
+    """
     half = hashing.half(key)
     y = schema.label()
     base = battles.join(prompt_types.select(key, "prompt_concept"), key).select(key, "prompt_concept", "model_a", "model_b", y.alias("y"), half.alias("half"))
@@ -82,7 +86,8 @@ def omissions(
         F.struct(F.col("model_a").alias("model"), F.lit(1).alias("is_a"), F.col("y").alias("win")),
         F.struct(F.col("model_b").alias("model"), F.lit(0).alias("is_a"), (1 - F.col("y")).alias("win")),
     )
-    rows = base.select(key, "prompt_concept", "half", F.explode(sides).alias("s")).select(key, "prompt_concept", "half", "s.*")
+    rows = base.select(key, "prompt_concept", "half", F.explode(F.when(F.col("model_a") == F.col("model_b"), F.slice(sides, 1, 1)).otherwise(sides)).alias("s"))
+    rows = rows.select(key, "prompt_concept", "half", "s.model", "s.is_a", F.when(F.col("s.win") != 0.5, F.col("s.win")).alias("win"))
     cell = ["model", "prompt_concept"]
     sizes = rows.groupBy(*cell).agg(F.count("*").alias("n"), count_if(F.col("half") == 0).alias("n0"), F.sum("win").alias("w"), F.count("win").alias("nw"))
     sizes = sizes.filter(F.col("n") >= min_battles)
@@ -103,7 +108,8 @@ def omissions(
     short0 = S.ratio((F.col("opp0") - F.col("own0")).cast("double"), n0)
     short1 = S.ratio(((F.col("opp") - F.col("opp0")) - (F.col("own") - F.col("own0"))).cast("double"), n - n0)
     norm = winning_prevalence(z_a, z_b, battles, prompt_types, key)
-    out = counts.join(F.broadcast(sizes), cell).join(norm, ["prompt_concept", "feature_id"], "left").select(
+    cells = counts.join(F.broadcast(sizes), cell).filter(F.col("opp") >= min_expected * F.col("n"))
+    out = cells.join(norm, ["prompt_concept", "feature_id"], "left").select(
         *cell, "feature_id", "n", F.round(F.col("opp") / n, 4).alias("expected"), F.round(F.col("own") / n, 4).alias("produced"), F.round(short, 4).alias("shortfall"),
         S.mcnemar_chi2(F.col("b01"), F.col("b10")).alias("mcnemar_chi2"),
         F.coalesce((F.signum(short0) * F.signum(short1) > 0) & (short > 0), F.lit(False)).alias("stable"),
@@ -115,9 +121,8 @@ def omissions(
     if not p_values:
         return out
     out = out.withColumn("mcnemar_p", S.chi2_tail("mcnemar_chi2"))
-    cells = out.count()
-    out = out.withColumn("mcnemar_p_bonferroni", S.bonferroni(F.col("mcnemar_p"), cells))
-    flag = F.col("stable") & (F.col("expected") >= min_expected) & (F.col("shortfall") >= min_shortfall) & (F.col("mcnemar_p_bonferroni") < 0.05) & F.col("expected_norm")
+    out = out.withColumn("mcnemar_p_bonferroni", S.bonferroni(F.col("mcnemar_p"), cells.count()))
+    flag = F.col("stable") & (F.col("shortfall") >= min_shortfall) & (F.col("mcnemar_p_bonferroni") < 0.05) & F.col("expected_norm")
     return out.withColumn("flagged", flag)
 
 
@@ -128,6 +133,35 @@ def prompt_delta(z_diff: DataFrame, battles: DataFrame, prompt_types: DataFrame,
     return relevance.region_contrast(orient_by_label(z_diff, battles, key), region, key, p_values=p_values)
 
 
+def delta_null(z_diff: DataFrame, battles: DataFrame, prompt_types: DataFrame, times: int = 20, key: str = "battle_id", seed: int = 0) -> dict:
+    """How many cells of ``prompt_delta`` survive when prompt concepts are dealt to other battles, against the observed.
+
+    A shuffle pairs the battles in one drawn order with the concepts in another, rank by rank; ranks are
+    counted within ranges of the hash, so no shuffle sorts all rows in one task.
+    """
+    found = lambda types: prompt_delta(z_diff, battles, types, key).filter("p_bonferroni < 0.05 and stable").count()
+    observed = found(prompt_types)
+    null = [found(shuffled(prompt_types, "prompt_concept", key, f"{seed}|{i}")) for i in range(times)]
+    return {"observed": observed, "null": null, "p": (1 + sum(n >= observed for n in null)) / (times + 1)}
+
+
+def shuffled(rows: DataFrame, column: str, key: str, salt: str) -> DataFrame:
+    """(key, column) with the values of the column dealt to other keys by two drawn orders."""
+    drawn = lambda name: F.sha1(F.concat(F.col(key).cast("string"), F.lit(f"|{name}|{salt}")))
+
+    def numbered(df, name):
+        # The first three hex digits make 4096 ranges of the order; a range's rows are ranked in one group.
+        part = F.substring("_h", 1, 3)
+        own = df.withColumn("_h", drawn(name)).withColumn("_part", part)
+        sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
+        before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+        rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", key))
+        ranked = own.withColumn("_r", rank).join(F.broadcast(before), "_part")
+        return ranked.select(*df.columns, (F.col("_r") + F.coalesce("_before", F.lit(0))).alias("_at"))
+
+    return numbered(rows.select(key), "to").join(numbered(rows.select(key, column), "from").select(column, "_at"), "_at").select(key, column)
+
+
 def cluster_scores(codes: DataFrame, clusters: DataFrame, key: str = "battle_id", aggregate: str = "mean") -> DataFrame:
     """Mean (or sum) of the member codes of each cluster per row; a cluster without codes has no row."""
     sizes = clusters.filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("m"))

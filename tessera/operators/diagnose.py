@@ -79,6 +79,20 @@ def one_model(meta: DataFrame, codes: DataFrame, model: str, names: DataFrame |
     return out.orderBy(F.desc_nulls_last("delta_vs_pool"), "feature_id")
 
 
+def length_controlled(diagnosis: DataFrame, meta: DataFrame, codes: DataFrame) -> DataFrame:
+    """Add outcome_assoc_lc (win rate moved by a feature at equal length) and length_confound (correlation of its sign with length).
+
+    ``diagnosis`` is the table of one model, ``meta`` its oriented battles with win and length.
+    """
+    from . import logistic, relevance
+
+    rows = meta.withColumnRenamed("win", "human_pref")
+    lc = logistic.controlled(codes, rows, key="row_id", p_values=False).select("feature_id", F.col("delta_win_rate").alias("outcome_assoc_lc"))
+    confound = relevance.confound_correlation(codes, rows, "length", key="row_id")
+    confound = confound.select("feature_id", F.col("corr").alias("length_confound"))
+    return diagnosis.join(F.broadcast(lc), "feature_id", "left").join(F.broadcast(confound), "feature_id", "left")
+
+
 def named(table: DataFrame, names: DataFrame) -> DataFrame:
     """Names joined on, their columns first."""
     own = [c for c in names.columns if c != "feature_id"]

@@ -16,8 +16,11 @@ from ..functions import stats as S
 count_if = F.count_if
 
 
-def win_relevance(codes: DataFrame, rows: DataFrame, key: str = "battle_id", p_values: bool = True) -> DataFrame:
-    """Per feature: how often it fires, mean label when it is more or less, and their association."""
+def win_relevance(codes: DataFrame, rows: DataFrame, key: str = "battle_id", p_values: bool = True, features: DataFrame | None = None) -> DataFrame:
+    """Per feature: how often it fires, mean label when it is more or less, and their association.
+
+    With ``features`` (feature_id) silent features have a row too, and all of them count as tests.
+    """
     y = rows.select(key, schema.label().alias("y")).filter("y is not null")
     total = y.count()
     c = 2 * F.col("y") - 1
@@ -48,9 +51,11 @@ def win_relevance(codes: DataFrame, rows: DataFrame, key: str = "battle_id", p_v
         (F.col("win_rate_a_more") - F.col("win_rate_a_less")).alias("win_assoc"),
         r.alias("correlation"),
     )
+    if features is not None:
+        out = F.broadcast(features.select("feature_id")).join(out, "feature_id", "left").fillna({"n_fire": 0, "fire_rate": 0.0})
     if not p_values:
         return out
-    tests = codes.select("feature_id").distinct().count()
+    tests = (codes if features is None else features).select("feature_id").distinct().count()
     out = out.withColumn("p_value", S.correlation_p(F.col("correlation"), F.col("n_fire")))
     return out.withColumns(
         {"p_bonferroni": S.bonferroni(F.col("p_value"), tests), "sign": F.signum("correlation").cast("int")}

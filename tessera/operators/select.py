@@ -26,18 +26,35 @@ def top_codes(codes: DataFrame, n: int, key: str = "battle_id", mode: str = "abs
 
 
 def silent(codes: DataFrame, pool: DataFrame, n: int, key: str = "battle_id", seed: int = 0) -> DataFrame:
-    """Per feature: n rows of the pool on which it is silent, drawn by hash.
+    """Per feature: n rows of the pool on which it is silent, the first ones of an order drawn by hash.
 
-    Each feature looks only at the first rows of the drawn order: it needs n silent ones, and no feature
-    fires on more rows than ``most``, so n + most rows of the order hold them.  This keeps the
-    candidates at features x (n + most) instead of features x rows.
+    A feature that is silent on s rows needs about the first n / s of the order.  Rows are dealt into levels,
+    halves of what is left of the order, and a feature meets the levels up to a bound with room to spare; those
+    that still lack rows go on with a bound eight times as far.  So the candidates are a few n per feature (more
+    only for features that fire nearly everywhere), and no feature meets all rows for another's sake.
     """
+    order = pool.select(key, drawn(key, seed).alias("h"))
+    place = (F.conv(F.substring("h", 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+    order = order.withColumns({"u": place, "level": F.floor(-F.log2(place)).cast("int")})
     fire = codes.filter("z <> 0").select("feature_id", key).distinct()
-    most = fire.groupBy("feature_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    order = pool.select(key, drawn(key, seed).alias("h")).orderBy("h", key).limit(n + most)
-    features = F.broadcast(codes.select("feature_id").distinct())
-    grid = order.crossJoin(features).join(fire, ["feature_id", key], "left_anti")
-    return ranked(grid, ["feature_id"], n, F.col("h"), F.col(key)).select("feature_id", "rank", key)
+    size = pool.count()
+    counts = fire.join(pool.select(key), key, "left_semi").groupBy("feature_id").agg(F.count("*").alias("c"))
+    open_features = codes.select("feature_id").distinct().join(counts, "feature_id", "left").select("feature_id", (size - F.coalesce("c", F.lit(0))).alias("quiet"))
+    open_features = open_features.filter("quiet > 0")
+    reach, found = 1.0, None
+    while True:
+        bound = F.least(F.lit(1.0), reach * F.lit(n + 6 * n**0.5 + 10) / F.col("quiet"))
+        asked = open_features.withColumn("bound", bound).withColumn("level", F.explode(F.sequence(F.floor(-F.log2("bound")).cast("int"), F.lit(48))))
+        near = order.join(asked, "level").filter("u <= bound").select("feature_id", key, "h").join(fire, ["feature_id", key], "left_anti")
+        best = ranked(near, ["feature_id"], n, F.col("h"), F.col(key)).select("feature_id", "rank", key)
+        have = best.groupBy("feature_id").agg(F.count("*").alias("have"))
+        short = open_features.join(have, "feature_id", "left").filter(F.coalesce("have", F.lit(0)) < F.least(F.lit(n), F.col("quiet"))).select("feature_id", "quiet")
+        lacking = [r["feature_id"] for r in short.select("feature_id").collect()]  # at most the features, usually none
+        done = best.filter(~F.col("feature_id").isin(lacking)) if lacking else best
+        found = done if found is None else found.unionByName(done)
+        if not lacking:
+            return found
+        open_features, reach = open_features.filter(F.col("feature_id").isin(lacking)), reach * 8
 
 
 def naming_examples(codes: DataFrame, pool: DataFrame, n_active: int = 10, n_zero: int = 10, key: str = "battle_id", seed: int = 0) -> DataFrame:

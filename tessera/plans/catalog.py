@@ -9,7 +9,7 @@ from ..functions import hashing, text
 from ..functions import stats as S
 from ..operators import cluster, codes, conditional, diagnose, elicit, export, interpret, lens, logistic, relevance, select, validate
 from ..sources import corpus
-from .bridge import SQL, Bridge
+from .bridge import PROMPT_FEATURES, SQL, Bridge
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -160,12 +160,12 @@ def pearson_sql(n, x, xx, y, yy, xy):
     return _PEARSON.format(n=f"({n})", x=f"({x})", xx=f"({xx})", y=f"({y})", yy=f"({yy})", xy=f"({xy})")
 
 
-@query(f"""select feature_id, n_fire, round(n_fire / (select n from nb), 6) as fire_rate, round(wa, 6) as win_rate_a_more, round(wl, 6) as win_rate_a_less, round(wa - wl, 6) as win_assoc,
-round(case when p > 0 and q > 0 then {pearson_sql("n_fire", "p - q", "n_fire", "sc", "scc", "ssc")} end, 6) as correlation from (
+@query(f"""select feature_id, coalesce(n_fire, 0)::bigint as n_fire, round(coalesce(n_fire, 0) / (select n from nb), 6) as fire_rate, round(wa, 6) as win_rate_a_more, round(wl, 6) as win_rate_a_less, round(wa - wl, 6) as win_assoc,
+round(case when p > 0 and q > 0 then {pearson_sql("n_fire", "p - q", "n_fire", "sc", "scc", "ssc")} end, 6) as correlation from dims left join (
 select feature_id, count(*)::bigint as n_fire, count_if(z > 0)::double as p, count_if(z < 0)::double as q, avg(case when z > 0 then human_pref end) as wa, avg(case when z < 0 then human_pref end) as wl,
-sum(2 * human_pref - 1) as sc, sum((2 * human_pref - 1) ** 2) as scc, sum(sign(z) * (2 * human_pref - 1)) as ssc from zd join battles using (battle_id) group by feature_id) q""")
+sum(2 * human_pref - 1) as sc, sum((2 * human_pref - 1) ** 2) as scc, sum(sign(z) * (2 * human_pref - 1)) as ssc from zd join battles using (battle_id) group by feature_id) q using (feature_id)""")
 def win_relevance(b):
-    out = relevance.win_relevance(b.z_diff(), b.battles(), p_values=False)
+    out = relevance.win_relevance(b.z_diff(), b.battles(), p_values=False, features=b.features())
     return rounded(out, "fire_rate", "win_rate_a_more", "win_rate_a_less", "win_assoc", "correlation")
 
 
@@ -428,16 +428,35 @@ def gap_stats(b):
     return rounded(conditional.gap_stats(prevalence, 2), "median", "p90", "max", "over_5pp", "over_10pp")
 
 
-@query("""select model, prompt_concept, feature_id, any_value(n)::bigint as n, round(sum(opp) / any_value(n), 4) as expected, round(sum(own) / any_value(n), 4) as produced, round((sum(opp) - sum(own)) / any_value(n), 4) as shortfall,
-round(case when count_if(own <> opp) > 0 then greatest(abs(count_if(own = 0 and opp = 1) - count_if(own = 1 and opp = 0)) - 1, 0) ** 2 / count_if(own <> opp)::double else 0 end, 6) as mcnemar_chi2 from (
-select battle_id, model, prompt_concept, is_a, feature_id, max((fired = is_a)::int) as own, max((fired <> is_a)::int) as opp from (
-select battle_id, feature_id, 1 as fired from za union all select battle_id, feature_id, 0 from zb) h join (
-select battle_id, model_a as model, 1 as is_a from battles union all select battle_id, model_b, 0 from battles) s using (battle_id) join pt using (battle_id) where feature_id < 32 group by all) f join (
-select model, prompt_concept, count(*) as n from (select battle_id, model_a as model from battles union all select battle_id, model_b from battles) s join pt using (battle_id) group by all having count(*) >= 3) z using (model, prompt_concept) group by all""")
+def chi2_tail_sql(x):
+    """Upper tail of chi-square with one degree of freedom: the series of the error function of sqrt(x / 2)."""
+    series = f"list_sum(list_transform(range(0, 90), lambda k: (case when k % 2 = 0 then 1 else -1 end) * sqrt({x} / 2) ** (2 * k + 1) / (gamma(k + 1) * (2 * k + 1))))"
+    return f"(case when {x} < 32 then 1 - 2 / sqrt(pi()) * {series} else 0 end)"
+
+
+_OMISSIONS = f""", {_PREV},
+sd as (select battle_id, model_a as model, 1 as is_a, human_pref as y from battles union all select battle_id, model_b, 0, 1 - human_pref from battles where model_a <> model_b),
+rw as (select battle_id, model, is_a, case when y <> 0.5 then y end as win, prompt_concept, half from sd join pt using (battle_id) join halves using (battle_id)),
+sz as (select model, prompt_concept, count(*) as n, count_if(half = 0) as n0, sum(win) as w, count(win) as nw from rw group by all having count(*) >= 3),
+ff as (select battle_id, model, prompt_concept, is_a, half, win, feature_id, max((fired = is_a)::int) as own, max((fired <> is_a)::int) as opp
+    from (select battle_id, feature_id, 1 as fired from za union all select battle_id, feature_id, 0 from zb) h join rw using (battle_id) group by all),
+ct as (select model, prompt_concept, feature_id, sum(own) as own, sum(opp) as opp, sum(case when half = 0 then own else 0 end) as own0, sum(case when half = 0 then opp else 0 end) as opp0,
+    count_if(own = 0 and opp = 1) as b01, count_if(own = 1 and opp = 0) as b10, sum(case when own = 1 then win end) as w1, count(case when own = 1 then win end) as nw1 from ff group by all),
+cl as (select *, (opp - own)::double / n as short, (opp0 - own0)::double / nullif(n0, 0) as s0, ((opp - opp0) - (own - own0))::double / nullif(n - n0, 0) as s1,
+    case when b01 + b10 > 0 then greatest(abs(b01 - b10) - 1, 0) ** 2 / (b01 + b10)::double else 0 end as chi2 from ct join sz using (model, prompt_concept) where opp >= 0.15 * n),
+om as (select model, prompt_concept, feature_id, n, round(opp / n, 4) as expected, round(own / n, 4) as produced, round(short, 4) as shortfall, coalesce(sign(s0) * sign(s1) > 0 and short > 0, false) as stable,
+    round(w1 / nullif(nw1, 0), 4) as won_when_fired, round((w - coalesce(w1, 0)) / nullif(nw - nw1, 0), 4) as won_when_not, round(p_win, 4) as p_win, round(p_lose, 4) as p_lose, round(lb::double, 4) as win_wilson_lb,
+    coalesce(n_win, 0) as n_win, chi2, least({chi2_tail_sql("chi2")} * (select count(*) from cl), 1.0) as pb from cl left join pv using (prompt_concept, feature_id))
+select model, prompt_concept, feature_id, n::bigint as n, expected, produced, shortfall, stable, won_when_fired, won_when_not, p_win, p_lose, win_wilson_lb, n_win::bigint as n_win,
+round({chi2_tail_sql("chi2")}, 6) as mcnemar_p, round(pb, 6) as mcnemar_p_bonferroni, coalesce(win_wilson_lb >= 0.1 and p_win - p_lose >= 0 and n_win >= 2, false) as expected_norm,
+stable and shortfall >= 0.05 and pb < 0.05 and coalesce(win_wilson_lb >= 0.1 and p_win - p_lose >= 0 and n_win >= 2, false) as flagged from om"""
+
+
+@query(_OMISSIONS)
 def omissions(b):
-    candidates = b.features().filter("feature_id < 32").crossJoin(F.broadcast(b.spark.range(16).select(F.col("id").cast("int").alias("prompt_concept"))))
-    out = conditional.omissions(b.z_side("a"), b.z_side("b"), b.battles(), b.prompt_types(), candidates, min_battles=3, p_values=False)
-    return rounded(out.select("model", "prompt_concept", "feature_id", "n", "expected", "produced", "shortfall", "mcnemar_chi2"), "mcnemar_chi2")
+    kinds = b.spark.range(PROMPT_FEATURES).select(F.col("id").cast("int").alias("prompt_concept"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("feature_id"))
+    out = conditional.omissions(b.z_side("a"), b.z_side("b"), b.battles(), b.prompt_types(), kinds, min_battles=3, min_norm=0.1, min_gap=0.0, min_wins=2)
+    return rounded(out.drop("mcnemar_chi2"), "mcnemar_p", "mcnemar_p_bonferroni")
 
 
 @query("select battle_id, feature_id % 8 as cluster_id, round(sum(z) / 8, 6) as z from zd group by all")
@@ -505,6 +524,64 @@ def parse_labels(b):
     return b.turns().select("conv_id", "turn", text.parse_label(F.col("text")).alias("label"), text.clip(F.col("text"), 120).alias("clipped"))
 
 
+#: Beginnings of replies that parsers have to tell apart.
+_REPLIES = ("Yes, though parts are unclear", "No, it cannot be seen", "Not sure, yes maybe", "Nothing here", "I think yes", "Well, no", "Hard to say, cannot tell", "Present", "N/A", "...")
+
+
+@query(f"""select doc_id, case when regexp_matches(t, '^(unclear|unsure|not sure|n/a|cannot|can''t|can not)') then null when regexp_matches(t, '^(yes|present)') then 1 when regexp_matches(t, '^(no|absent)') then 0
+when regexp_matches(t, '\\b(unclear|unsure|not sure|cannot tell|can.?t tell)\\b') then null when regexp_matches(t, '\\byes\\b') then 1 when regexp_matches(t, '\\bno\\b') then 0 end as present
+from (select doc_id, lower(concat(list_extract({list(_REPLIES)}, (doc_id % 10 + 1)::int), ': ', source)) as t from documents) q""", bridged=False)
+def parse_presence(b):
+    reply = F.concat(F.element_at(F.array(*[F.lit(x) for x in _REPLIES]), F.pmod("doc_id", F.lit(10)).cast("int") + 1), F.lit(": "), "source")
+    return b.table("documents").select("doc_id", text.parse_presence(reply).alias("present"))
+
+
+#: Replies of a naming model with what they say.
+_NAMINGS = (
+    ('{"status": "ok", "concept": "cites its sources", "confidence": "High"}', "ok", "cites its sources", "high"),
+    ('{"status": "polysemantic", "concept": "two things", "confidence": "low"}', "polysemantic", "", "low"),
+    ('{"status": "certain", "concept": "a new status", "confidence": "sure"}', "insufficient_evidence", "", ""),
+    ("<<ERROR: request timed out>>", "insufficient_evidence", "", ""),
+    ("Sure, A:", "insufficient_evidence", "", ""),
+    ('<think>hm</think>- "uses numbered lists"', "ok", "uses numbered lists", ""),
+    ('{"concept": "opens with praise"}', "ok", "opens with praise", ""),
+    ('{"concept": "praise"}', "insufficient_evidence", "", ""),
+    ("", "insufficient_evidence", "", ""),
+    ("The examples differ.\nends with a question for the user", "ok", "ends with a question for the user", ""),
+)
+
+
+@query(f"""select doc_id, status, concept, confidence from documents join (values {", ".join(f"({i}, '{s}', '{c}', '{f}')" for i, (_, s, c, f) in enumerate(_NAMINGS))}) e(k, status, concept, confidence) on doc_id % 10 = k""", bridged=False)
+def parse_concept_result(b):
+    reply = F.element_at(F.array(*[F.lit(x[0]) for x in _NAMINGS]), F.pmod("doc_id", F.lit(10)).cast("int") + 1)
+
+    def run(batches):
+        for pdf in batches:
+            got = [interpret.parse_result(r) for r in pdf["reply"]]
+            yield pdf[["doc_id"]].assign(**{k: [g[k] for g in got] for k in ("status", "concept", "confidence")})
+
+    return b.table("documents").select("doc_id", reply.alias("reply")).mapInPandas(run, "doc_id long, status string, concept string, confidence string")
+
+
+@query("""select battle_id, source, human_pref from (select *, row_number() over (partition by battle_id order by frame) as r from (
+select battle_id, 'plain' as source, null::double as human_pref, 0 as frame from battles where a_doc_id % 2 = 0 union all select battle_id, 'judged', human_pref, 1 from battles) q) s where r = 1""")
+def merge_union(b):
+    plain = b.battles().filter("a_doc_id % 2 = 0").select("battle_id", F.lit("plain").alias("source"))
+    return corpus.merge([plain, b.battles().select("battle_id", F.lit("judged").alias("source"), "human_pref")])
+
+
+@query()
+def cluster_names(b):
+    names = b.names()
+    return interpret.name_clusters(names.select("feature_id", "cluster_id"), names.select("feature_id", "concept"), lambda qs: [f'{{"concept": "members {q.count("- ")} in all"}}' for q in qs])
+
+
+@query("""select r.feature_id, concat('concept_', lead(feature_id, 1, first_id) over (order by h, feature_id)) as concept
+from (select feature_id, sha1(concat(feature_id, '|0')) as h, first_value(feature_id) over (order by sha1(concat(feature_id, '|0')), feature_id) as first_id from dims) r""")
+def shuffled_names(b):
+    return interpret.shuffled_names(b.names().select("feature_id", "concept"))
+
+
 @query("""select feature_id, concat('concept_', feature_id) as concept, case when feature_id % 2 = 0 then 'new' else 'old' end as origin from dims""")
 def names_upsert(b):
     old = b.names().select("feature_id", "concept").withColumn("origin", F.lit("old"))

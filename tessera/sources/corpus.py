@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import hashing, text
 
+#: Names of roles, and fields of a conversation that hold its messages.
 USER_ROLES = ("user", "human")
 ASSISTANT_ROLES = ("assistant", "model", "bot", "gpt", "ai")
+MESSAGE_FIELDS = ("messages", "conversation", "turns", "content")
 READERS = {".parquet": "parquet", ".csv": "csv", ".jsonl": "json", ".json": "json"}
 
 
@@ -53,13 +56,13 @@ def normalize(df: DataFrame, source: str) -> DataFrame:
 
 
 def merge(frames: list[DataFrame]) -> DataFrame:
-    """All rows; of rows with one battle_id, the one of the first frame (ties: smallest content)."""
+    """All rows and all columns; of rows with one battle_id, the one of the first frame (ties: smallest content)."""
     tagged = [f.withColumn("_frame", F.lit(i)) for i, f in enumerate(frames)]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     rest = [c for c in both.columns if c not in ("battle_id", "_frame")]
     # min of a struct is aggregated map-side, so an id with very many rows costs one row a task.
     first = both.groupBy("battle_id").agg(F.min(F.struct("_frame", *rest)).alias("r"))
-    return first.select(*[F.col("battle_id") if c == "battle_id" else F.col(f"r.{c}").alias(c) for c in frames[0].columns])
+    return first.select(*[F.col("battle_id") if c == "battle_id" else F.col(f"r.{c}").alias(c) for c in both.columns if c != "_frame"])
 
 
 def from_turns(turns: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -73,20 +76,46 @@ def from_turns(turns: DataFrame, conversation: str = "conv_id", order: str = "tu
     )
 
 
-def first_text(messages, roles):
-    """Text of the first message of a role in an array of structs (role, content)."""
+def plain_text(content, kind: T.DataType):
+    """Text of a message's content: a string, or a list of strings or of parts with ``text`` or ``content``."""
+    if isinstance(kind, T.ArrayType):
+        part = kind.elementType
+        if isinstance(part, T.StructType):
+            fields = [f for f in ("text", "content") if f in part.names]
+            one = lambda p: F.coalesce(*[p[f].cast("string") for f in fields], F.lit(""))
+        else:
+            one = lambda p: F.coalesce(p.cast("string"), F.lit(""))
+        return F.coalesce(F.array_join(F.filter(F.transform(content, one), lambda p: p != ""), "\n"), F.lit(""))
+    return F.coalesce(content.cast("string"), F.lit(""))
+
+
+def messages_of(conversation, kind: T.DataType):
+    """(array of messages, type of a message): the conversation, or the first field of it that holds messages."""
+    while isinstance(kind, T.StructType):
+        field = next((f for f in MESSAGE_FIELDS if f in kind.names), None)
+        if field is None:
+            break
+        conversation, kind = conversation[field], kind[field].dataType
+    return (conversation, kind.elementType) if isinstance(kind, T.ArrayType) else (None, None)
+
+
+def first_text(df: DataFrame, column: str, roles):
+    """Text of the first message of a role in a conversation column of any of the known forms; empty without one."""
+    messages, kind = messages_of(F.col(column), df.schema[column].dataType)
+    if not isinstance(kind, T.StructType) or "role" not in kind.names or "content" not in kind.names:
+        return F.lit("")
     found = F.get(F.filter(messages, lambda m: F.lower(m["role"]).isin(*roles)), F.lit(0))
-    return F.coalesce(found["content"], F.lit(""))
+    return plain_text(found["content"], kind["content"].dataType)
 
 
 def conversations_to_corpus(df: DataFrame, source: str, conv_a="conversation_a", conv_b="conversation_b", prompt: str | None = None) -> DataFrame:
     schema.require(df, conv_a, conv_b, "model_a", "model_b")
-    question = F.col(prompt) if prompt else first_text(F.col(conv_a), USER_ROLES)
+    question = plain_text(F.col(prompt), df.schema[prompt].dataType) if prompt else first_text(df, conv_a, USER_ROLES)
     out = df.withColumns(
         {
             "prompt": question,
-            "completion_a": first_text(F.col(conv_a), ASSISTANT_ROLES),
-            "completion_b": first_text(F.col(conv_b), ASSISTANT_ROLES),
+            "completion_a": first_text(df, conv_a, ASSISTANT_ROLES),
+            "completion_b": first_text(df, conv_b, ASSISTANT_ROLES),
         }
     )
     if "winner" in df.columns and schema.LABEL not in df.columns:
@@ -94,15 +123,39 @@ def conversations_to_corpus(df: DataFrame, source: str, conv_a="conversation_a",
     return normalize(out, source)
 
 
-def chosen_pref(df: DataFrame) -> DataFrame:
-    """human_pref from both_equal / chosen_model."""
-    chosen = F.col("chosen_model")
+def chosen_pref(df: DataFrame, chosen: str = "chosen_model", model_a: str = "model_a", model_b: str = "model_b") -> DataFrame:
+    """human_pref from both_equal and the name of the chosen model."""
+    own = F.col(chosen)
     return df.withColumn(
         schema.LABEL,
-        F.when(F.col("both_equal"), 0.5).when(chosen == F.col("model_a"), 1.0).when(chosen == F.col("model_b"), 0.0).otherwise(0.5),
+        F.when(F.col("both_equal"), 0.5).when(own == F.col(model_a), 1.0).when(own == F.col(model_b), 0.0).otherwise(0.5),
     )
 
 
+#: Sources of battles, the columns in which they differ, and how they state a vote.
+ARENAS = {
+    "lmarena-100k": {},
+    "lmarena-140k": {},
+    "comparia": {"model_a": "model_a_name", "model_b": "model_b_name", "prompt": "opening_msg", "chosen": "chosen_model_name"},
+}
+
+
+def load_arena(spark: SparkSession, source: str, path: str, limit: int | None = None, keep_labels: bool = False) -> DataFrame:
+    """A downloaded dump of a known source as a corpus; ``keep_labels`` carries the vote."""
+    if source not in ARENAS:
+        raise ValueError(f"unknown source {source!r}; known: {', '.join(sorted(ARENAS))}")
+    own, df = ARENAS[source], load_table(spark, path)
+    df = df if limit is None else df.limit(limit)
+    if keep_labels:
+        df = chosen_pref(df, own["chosen"], own["model_a"], own["model_b"]) if "chosen" in own else df.withColumn(schema.LABEL, text.vote(F.col("winner")))
+    else:
+        df = df.drop("winner", schema.LABEL)
+    for side in ("model_a", "model_b"):
+        if side in own:
+            df = df.drop(side).withColumnRenamed(own[side], side)
+    return conversations_to_corpus(df, source, prompt=own.get("prompt"))
+
+
 def judged_battles(samples: DataFrame) -> DataFrame:
     """Judge samples (instruction_id, texts, models, judge_pref or preference) as labelled battles.
 
@@ -165,8 +218,8 @@ def mapped(df: DataFrame, **columns: str | None) -> DataFrame:
     if "pref" in given:
         out = out.withColumn(schema.LABEL, schema.label())
     if "id" not in given:
-        order = Window.orderBy("prompt", "completion_a")
-        out = out.withColumn("instruction_id", (F.row_number().over(order) - 1).cast("string"))
+        content = F.concat_ws(hashing.FIELD_SEPARATOR, *[F.coalesce(F.col(names[k]).cast("string"), F.lit("")) for k in given])
+        out = out.withColumn("instruction_id", F.substring(F.sha1(content), 1, 16))
     return out
 
 

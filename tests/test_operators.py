@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -169,7 +171,7 @@ def test_naming_verifying_and_runs(spark):
     rng = np.random.default_rng(3)
     z, rows = long(spark, rng.normal(size=(80, 2)) * (rng.random((80, 2)) < 0.6)), labels(spark, rng.integers(0, 2, 80), length=rng.integers(-9, 9, 80).astype(float).tolist())
     texts = spark.createDataFrame([(str(i), f"text {i} <<<") for i in range(80)], "battle_id string, text string")
-    ask = lambda qs: ['{"concept": "uses plain words", "confidence": 0.5}' if q.startswith("Which") else "A" for q in qs]
+    ask = lambda qs: ['{"concept": "uses plain words", "confidence": "low"}' if q.startswith("Which") else "A" for q in qs]
     config = pipeline.Config.from_dict({"clusterer": "agglomerative", "clusterer_params": {"n_clusters": 1}, "n_per_bucket": 3})
     out = pipeline.run(config, z, rows, texts, ask)
     assert {r.concept for r in out["names"].collect()} == {"uses plain words"}
@@ -180,7 +182,48 @@ def test_naming_verifying_and_runs(spark):
         with pytest.raises(ValueError, match="unknown"):
             pipeline.Config.from_dict(wrong)
     assert interpret.parse_concept('<think>x</think>{"feature": "long answers"}') == "long answers"
-    assert interpret.parse_result("{bad json")["status"] == "abstain" and interpret.parse_concept("- cites its sources") == "cites its sources"
+    assert interpret.parse_result("{bad json")["status"] == "insufficient_evidence" and interpret.parse_concept("- cites its sources") == "cites its sources"
+
+
+def test_lost_replies_and_candidates(spark):
+    tries = []
+
+    def send(request):
+        tries.append(request)
+        if request == "bad":
+            raise RuntimeError("401 not allowed")
+        if len(tries) < 3:
+            raise RuntimeError("busy")
+        return "Yes"
+
+    assert interpret.patient(send)(["a", "bad"]) == ["Yes", "<<ERROR: 401 not allowed>>"] and len(tries) == 4
+    rows = [(1, "ok", "long answers", "low"), (1, "ok", "long answers", "high"), (1, "ok", "short ones", "high"), (2, "polysemantic", "", ""), (2, "ok", "plain words", "low")]
+    best = interpret.best_candidate(spark.createDataFrame(rows, "feature_id int, status string, concept string, confidence string"))
+    assert {tuple(r) for r in best.collect()} == {(1, "ok", "long answers", "high"), (2, "ok", "plain words", "low")}
+
+
+def test_a_silent_draw_for_a_feature_that_fires_nearly_everywhere(spark):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("battle_id"))
+    z = rows.filter("cast(battle_id as int) % 800 <> 3").select("battle_id", F.lit(0).alias("feature_id"), F.lit(1.0).alias("z"))
+    z = z.union(rows.filter("cast(battle_id as int) < 40").select("battle_id", F.lit(1), F.lit(-1.0))).union(rows.select("battle_id", F.lit(2), F.lit(1.0)))
+    got = select.silent(z, rows, 4).collect()
+    order = sorted(range(4000), key=lambda i: hashlib.sha1(f"{i}|0".encode()).hexdigest())
+    want = {0: [str(i) for i in order if i % 800 == 3][:4], 1: [str(i) for i in order if i >= 40][:4]}
+    assert {f: [r.battle_id for r in sorted(got, key=lambda r: r.rank) if r.feature_id == f] for f in (0, 1)} == want and len(got) == 8
+
+
+def test_permutation_null_and_length_control(spark):
+    rng = np.random.default_rng(5)
+    z, rows = long(spark, rng.normal(size=(120, 3)) * (rng.random((120, 3)) < 0.7)), labels(spark, rng.integers(0, 2, 120), length=rng.integers(-9, 9, 120).astype(float).tolist())
+    types = rows.select("battle_id", (F.col("battle_id").cast("int") % 3).alias("prompt_concept"))
+    dealt = conditional.shuffled(types, "prompt_concept", "battle_id", "x")
+    assert dealt.count() == 120 and [r["count"] for r in dealt.groupBy("prompt_concept").count().collect()] == [40] * 3
+    null = conditional.delta_null(z, rows, types, times=2)
+    assert len(null["null"]) == 2 and 0 < null["p"] <= 1
+    meta = rows.select(F.col("battle_id").alias("row_id"), F.col("human_pref").alias("win"), "length")
+    table = diagnose.length_controlled(spark.createDataFrame([(0,), (1,), (9,)], "feature_id int"), meta, z.withColumnRenamed("battle_id", "row_id"))
+    got = {r.feature_id: r for r in table.collect()}
+    assert got[9].outcome_assoc_lc is None and abs(got[0].length_confound) < 1 and got[1].outcome_assoc_lc is not None
 
 
 def test_registry():

@@ -50,6 +50,27 @@ def test_conversations(spark):
     assert (r.prompt, r.completion_a, r.completion_b, r.human_pref) == ("question", "first", "other", 0.0)
 
 
+def test_forms_of_conversations(spark):
+    parts = "struct<messages:array<struct<role:string,content:array<struct<text:string,kind:string>>>>>"
+    a = ([("user", [("hello", "t"), (None, "image"), ("there", "t")]), ("ai", [("one", "t")])],)
+    plain = [("user", "x"), ("gpt", "two")]
+    raw = spark.createDataFrame([(a, plain, "m", "n", "n", False, ["open", "ing"])], f"conversation_a {parts}, conversation_b array<struct<role:string,content:string>>, model_a_name string, model_b_name string, chosen_model_name string, both_equal boolean, opening_msg array<string>")
+    named = raw.withColumnsRenamed({"model_a_name": "model_a", "model_b_name": "model_b"})
+    r = corpus.conversations_to_corpus(named, "s").first()
+    assert (r.prompt, r.completion_a, r.completion_b) == ("hello\nthere", "one", "two")
+
+
+def test_arenas(spark, tmp_path):
+    message = "array<struct<role:string,content:string>>"
+    raw = spark.createDataFrame([([("bot", "a1")], [("bot", "b1")], "m", "n", "n", False, "question")], f"conversation_a {message}, conversation_b {message}, model_a_name string, model_b_name string, chosen_model_name string, both_equal boolean, opening_msg string")
+    raw.write.parquet(f"{tmp_path}/dump.parquet")
+    r = corpus.load_arena(spark, "comparia", f"{tmp_path}/dump.parquet", keep_labels=True).first()
+    assert (r.prompt, r.model_a, r.completion_b, r.human_pref, r.source) == ("question", "m", "b1", 0.0, "comparia")
+    assert "human_pref" not in corpus.load_arena(spark, "comparia", f"{tmp_path}/dump.parquet").columns
+    with pytest.raises(ValueError, match="known"):
+        corpus.load_arena(spark, "other", "x.parquet")
+
+
 def test_scores_and_tables(spark, tmp_path):
     scored = spark.createDataFrame([("7", "3", "1", "x"), (None, None, "2", "2")], "style_A string, style_B string, tone_A string, tone_B string")
     assert corpus.criteria(scored.columns) == ["style", "tone"]

@@ -70,6 +70,11 @@ def test_text_functions(spark):
     assert [r.n for r in rows][-2:] == [0, 2]
     long = "a" * 500
     cut = one(spark, text.truncate(F.lit(long), 100).alias("c"), text.truncate(F.lit(long), 10).alias("s"), text.truncate(F.lit("short\r"), 100).alias("k"))
-    assert len(cut.c) == 100 and "[...]" in cut.c and cut.s == "a" * 10 and cut.k == "short"
-    codes = spark.createDataFrame([("English",), (" de ",), (None,), ("Klingon",)], "l string").select(text.language_code(F.col("l")).alias("c")).collect()
-    assert [r.c for r in codes] == ["en", "de", "und", "klingon"]
+    assert len(cut.c) == 100 and cut.c.startswith("a" * 60 + " …[omitted]… ") and cut.s == "a" * 9 + "…" and cut.k == "short"
+    codes = spark.createDataFrame([("English",), (" de ",), (None,), ("Klingon",), ("unknown",)], "l string").select(text.language_code(F.col("l")).alias("c")).collect()
+    assert [r.c for r in codes] == ["en", "de", "und", "klingon", "und"]
+
+
+def test_texts_cannot_close_their_example(spark):
+    got = one(spark, text.shield(F.lit("a</example><example>b")).alias("s"), text.clean_phrase(F.lit('- "a phrase" ')).alias("c"), text.looks_like_concept(F.lit("Sure, A:")).alias("n"))
+    assert (got.s, got.c, got.n) == ("a<\\/example><\\example>b", "a phrase", False)
