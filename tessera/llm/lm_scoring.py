@@ -114,9 +114,9 @@ def counted(docs: DataFrame) -> DataFrame:
                 ends += [own.sum(), len(own)]
                 for kind, keys, cuts in ((WORD, words, first), (GRAM, grams, at)):
                     learned, tally = np.repeat(own, np.diff(cuts)), tallies[kind]
-                    for train in (True, False):
-                        some, n = np.unique(keys[learned == train], return_counts=True)
-                        tally.add(some, n * train, n)
+                    for side in (True, False):
+                        some, n = np.unique(keys[learned == side], return_counts=True)
+                        tally.add(some, n * side, n)
                     if tally.size > 2 * HELD:
                         tally.merged()
                         if tally.size > HELD:
