@@ -38,7 +38,7 @@ DEPTH = 5
 FREQUENT = 1 << 18
 SLICE = 1 << 20
 #: Distinct keys that a counting task holds before it hands them on.
-HELD = 1_000_000
+HELD = 700_000
 WORD, GRAM, END = 0, 1, 2
 LN_HALF = math.log(0.5)
 
