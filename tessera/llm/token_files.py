@@ -5,8 +5,11 @@ lowest first; chunk j of all ids that have one forms level j, with a bitmap that
 on to level j + 1 and a rank directory (ones before each block of RANK_BLOCK bits).  Any id is then
 read by one byte, one bit and one rank per level, and nothing before it is decoded.
 
-Segments are rows of a Parquet dataset in ascending document order: Spark's commit protocol makes the
-files whole even when executors are lost, on any file system that Spark writes to.
+A file is a run of segments, each followed by one newline byte, without compression.  A segment's header
+says how long it is, so a reader steps from header to header and then reads single bytes by position
+(``TokenFile`` maps a file and touches nothing else).  Spark's text writer makes the files: its commit
+protocol makes them whole even when executors are lost, on any file system that Spark writes to.  A file
+has at most FILE_SEGMENTS segments, so readers that take a whole file (``read``) hold a bounded part.
 
 Defined cases: a null text counts as empty and has its end id alone; rows that repeat an identifier
 keep their order by text digest; an empty table gives no segment; no other column is read.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import public_tokenizers
@@ -28,12 +32,17 @@ from . import common, pretokens
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_IDS = 1 << 16
-MAGIC = b"DAC1"
-SEGMENTS = "part int, nth long, ids_before long, n_ids long, blob binary"
+#: Segments to a file, each of SEGMENT_IDS ids and the rest of its last document.
+FILE_SEGMENTS = 128
+MAGIC = b"DAC2"
+#: Part, ids of the part before the segment, bytes of the segment; numbers of documents, ids and levels.
+HEADER = struct.Struct("<4sIqqIII")
+#: Part, and ids of the part up to the segment's end; big-endian, so that SQL can read it off the end of a file.
+TRAILER = struct.Struct(">Iq")
 
 
-def write_segment(doc_ids, offsets, ids: np.ndarray) -> bytes:
-    """Header, document directory, then per level: chunks, bitmap, rank directory."""
+def write_segment(doc_ids, offsets, ids: np.ndarray, part: int = 0, before: int = 0) -> bytes:
+    """Header, document directory, then per level: chunks, bitmap, rank directory; trailer."""
     levels = []
     rest = ids.astype(np.uint64)
     while True:
@@ -46,22 +55,23 @@ def write_segment(doc_ids, offsets, ids: np.ndarray) -> bytes:
         rest = rest[more]
         if not len(rest):
             break
-    out = [MAGIC, struct.pack("<III", len(doc_ids), len(ids), len(levels))]
-    out += [np.asarray(doc_ids, "<i8").tobytes(), np.asarray(offsets, "<i8").tobytes()]
+    out = [np.asarray(doc_ids, "<i8").tobytes(), np.asarray(offsets, "<i8").tobytes()]
     for level in levels:
         out.append(struct.pack("<III", *map(len, level)))
         out += level
-    return b"".join(out)
+    out.append(TRAILER.pack(part, before + len(ids)))
+    n_bytes = HEADER.size + sum(map(len, out))
+    return b"".join([HEADER.pack(MAGIC, part, before, n_bytes, len(doc_ids), len(ids), len(levels)), *out])
 
 
 class Segment:
-    """Reads one segment."""
+    """Reads the segment that starts at a position of a buffer; nothing is copied or decoded in advance."""
 
-    def __init__(self, blob: bytes):
-        if bytes(blob[:4]) != MAGIC:
+    def __init__(self, data, at: int = 0):
+        magic, self.part, self.before, self.n_bytes, n_docs, self.n_ids, n_levels = HEADER.unpack_from(data, at)
+        if magic != MAGIC:
             raise ValueError("not a segment of directly addressable codes")
-        n_docs, self.n_ids, n_levels = struct.unpack_from("<III", blob, 4)
-        at = 16
+        blob, at = data, at + HEADER.size
         self.doc_ids = np.frombuffer(blob, "<i8", n_docs, at)
         self.offsets = np.frombuffer(blob, "<i8", n_docs + 1, at + 8 * n_docs)
         at += 8 * (2 * n_docs + 1)
@@ -112,8 +122,33 @@ class Segment:
         return out
 
 
+def segments_in(data):
+    """The segments of a file's bytes, header by header."""
+    at = 0
+    while at < len(data):
+        segment = Segment(data, at)
+        yield segment
+        at += segment.n_bytes + 1
+
+
+class TokenFile:
+    """One file, mapped: any id by its position in the file, without reading what lies before it."""
+
+    def __init__(self, path: str):
+        self.segments = list(segments_in(memoryview(np.memmap(path, np.uint8, "r"))))
+        self.first = self.segments[0].before
+        self.starts = [s.before - self.first for s in self.segments]
+        self.n_ids = self.starts[-1] + self.segments[-1].n_ids
+
+    def __getitem__(self, i: int) -> int:
+        if not 0 <= i < self.n_ids:
+            raise IndexError(i)
+        k = bisect_right(self.starts, i) - 1
+        return self.segments[k][i - self.starts[k]]
+
+
 def segments(docs, path: str, end_id: int):
-    """Segments of all documents, in ascending order of (part, nth)."""
+    """Segments of all documents in ascending order: one row each, in the order of the files."""
     text = common.id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = text.repartitionByRange(common.range_count(docs), "doc_id").sortWithinPartitions(
         "doc_id", F.xxhash64("text")
@@ -122,20 +157,16 @@ def segments(docs, path: str, end_id: int):
     def run(batches):
         enc = pretokens.encoder(path, word_level=True)
         part = TaskContext.get().partitionId()
-        nth = before = 0
+        before = 0
         names, sizes, parts, held = [], [], [], 0
         end = np.array([end_id], np.uint32)
 
         def close():
-            nonlocal nth, before, names, sizes, parts, held
-            blob = write_segment(names, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(parts))
-            row = pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([nth]), pa.array([before]), pa.array([held]), pa.array([blob], pa.binary())],
-                ["part", "nth", "ids_before", "n_ids", "blob"],
-            )
-            nth, before = nth + 1, before + held
+            nonlocal before, names, sizes, parts, held
+            blob = write_segment(names, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(parts), part, before)
+            before += held
             names, sizes, parts, held = [], [], [], 0
-            return row
+            return pa.record_batch([pa.array([blob], pa.binary())], ["blob"])
 
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
@@ -150,40 +181,46 @@ def segments(docs, path: str, end_id: int):
         if names:
             yield close()
 
-    return ordered.mapInArrow(run, SEGMENTS)
+    return ordered.mapInArrow(run, "blob binary")
 
 
 def write(docs, folder: str, path: str, end_id: int = 2) -> None:
-    segments(docs, path, end_id).write.parquet(folder)
+    # The text writer puts a string's bytes into the file as they are.
+    rows = segments(docs, path, end_id).select(F.col("blob").cast("string").alias("value"))
+    rows.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", FILE_SEGMENTS).text(folder)
 
 
 def read(spark, folder: str):
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    files = spark.read.schema(SEGMENTS).parquet(folder)
-    # One total per written partition, not per segment or document.
-    totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    files = spark.read.format("binaryFile").load(folder).filter("length > 0").select("content")
+
+    def number(end: int, size: int):
+        return F.conv(F.hex(F.substring("content", -end, size)), 16, 10).cast("long")
+
+    # One total per written partition, not per segment or document; the trailer stands before the last newline.
+    last = files.select(number(TRAILER.size + 1, 4).alias("part"), number(9, 8).alias("n"))
+    totals = sorted((r["part"], r["n"]) for r in last.groupBy("part").agg(F.max("n").alias("n")).collect())
     base, at = {}, 0
     for part, n in totals:
         base[part], at = at, at + n
 
     def run(batches):
         for batch in batches:
-            for part, before, blob in zip(*batch.columns, strict=True):
-                part, before, seg = part.as_py(), before.as_py(), Segment(blob.as_buffer())
-                cuts = seg.offsets.tolist()
-                crcs = [zlib.crc32(seg.read(a, b).astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.record_batch(
-                    [
-                        pa.array(seg.doc_ids.astype(np.int64)),
-                        pa.array(seg.offsets[:-1].astype(np.int64) + base[part] + before),
-                        pa.array(np.diff(seg.offsets).astype(np.int64)),
-                        pa.array(crcs, pa.int64()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    found = files.select("part", "ids_before", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return common.null_ids(found)
+            for content in batch.column(0):
+                for seg in segments_in(memoryview(content.as_buffer())):
+                    cuts = seg.offsets.tolist()
+                    crcs = [zlib.crc32(seg.read(a, b).astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    yield pa.record_batch(
+                        [
+                            pa.array(seg.doc_ids.astype(np.int64)),
+                            pa.array(seg.offsets[:-1].astype(np.int64) + base[seg.part] + seg.before),
+                            pa.array(np.diff(seg.offsets).astype(np.int64)),
+                            pa.array(crcs, pa.int64()),
+                        ],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
+
+    return common.null_ids(files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def op8_token_files(spark, sf_dir):

@@ -74,7 +74,25 @@ def test_codes_give_any_id():
     with pytest.raises(IndexError):
         seg[len(ids)]
     with pytest.raises(ValueError):
-        token_files.Segment(b"else" + bytes(20))
+        token_files.Segment(b"else" + bytes(40))
+
+
+def test_a_file_gives_any_id_by_position(spark, docs, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 50)
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 3)
+    docs.write.parquet(f"file://{tmp_path}/docs")  # read from files, the table's size is known
+    token_files.write(spark.read.parquet(f"file://{tmp_path}/docs"), f"file://{tmp_path}/a", WORD)
+    tok = Tokenizer.from_file(WORD)
+    ids = [x for _, t in corpus for x in (*tok.encode(t or "", add_special_tokens=False).ids, 2)]
+    files = [token_files.TokenFile(str(f)) for f in tmp_path.glob("a/part-*") if f.stat().st_size]
+    files.sort(key=lambda f: (f.segments[0].part, f.first))
+    assert len(files) > 3 and max(len(f.segments) for f in files) > 1
+    assert all(s.n_bytes and len(f.segments) <= 3 for f in files for s in f.segments)
+    got = [f[i] for f in files for i in range(f.n_ids)]
+    assert got == ids
+    with pytest.raises(IndexError):
+        files[0][files[0].n_ids]
+    assert sum(r.n_tokens for r in token_files.read(spark, f"file://{tmp_path}/a").collect()) == len(ids)
 
 
 def test_token_files(spark, docs, corpus, empty, repeated, tmp_path):
