@@ -66,6 +66,27 @@ def test_planted_edge_is_found(spark):
     assert pairs.count() == 10 and pairs.filter("mi < -1e-12").count() == 0
 
 
+def test_hot_features_fit_alike_by_aggregates(spark, monkeypatch, by="kind"):
+    rng = np.random.default_rng(5)
+    z = np.round(rng.normal(size=(240, 4)) * (rng.random((240, 4)) < 0.6), 2)
+    y = (rng.random(240) < 1 / (1 + np.exp(-z[:, 0]))).astype(int)
+    z[:, 2] = np.where(y == 1, 1.0, -1.0)  # separable
+    z[:, 3] = 1.0  # the same everywhere: no fit
+    rows = labels(spark, y, length=[float(x) for x in rng.integers(-9, 9, 240)], kind=[float(i % 2) for i in range(240)])
+    results = []
+    for hot_rows in (1_000_000, 65):
+        monkeypatch.setattr(logistic, "HOT_ROWS", hot_rows)
+        out = logistic.controlled(long(spark, z), rows, by=by).collect()
+        results.append({(r[by], r.feature_id): r for r in out})
+    assert len(results[0]) == 8 and results[0][1.0, 2].separable
+    for other in results[1:]:
+        assert other.keys() == results[0].keys()
+        for k, r in results[0].items():
+            for c in ("beta", "delta_win_rate", "lr_chi2", "lr_p"):
+                assert other[k][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-5, abs=1e-7)), (k, c)
+            assert (r.separable, r.n_battles, r.n_fire, r.significant) == (other[k].separable, other[k].n_battles, other[k].n_fire, other[k].significant)
+
+
 def test_logistic_finds_the_effect_and_separation(spark):
     rng = np.random.default_rng(1)
     n = 800
