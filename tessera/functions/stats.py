@@ -125,9 +125,9 @@ def chi2_tail(x: pd.Series) -> pd.Series:
 
 
 def correlation_p(r, n) -> Column:
-    """Two-sided p-value of a Pearson correlation of n pairs."""
-    t = F.when(F.abs(r) < 1, r * F.sqrt((n - 2) / (1 - r * r))).otherwise(F.lit(float("inf")))
-    return F.when(r.isNotNull() & (n > 2), t_tail(t, (n - 2).cast("double"))).when(r.isNotNull(), F.lit(1.0))
+    """Two-sided p-value of a Pearson correlation of n pairs; 0 where the pairs lie on a line, 1 for two pairs."""
+    t = F.when(F.abs(r) < 1, r * F.sqrt((n - 2) / (1 - r * r)))
+    return F.when(n <= 2, F.when(r.isNotNull(), F.lit(1.0))).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_tail(t, (n - 2).cast("double")))
 
 
 def bonferroni(p, tests) -> Column:

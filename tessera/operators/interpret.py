@@ -170,7 +170,11 @@ def ask_all(rows: DataFrame, ask, keys: list[str]) -> DataFrame:
 
 def name_features(examples: DataFrame, texts: DataFrame, ask, key: str = "battle_id") -> DataFrame:
     """feature_id, concept, status, confidence."""
-    replies = ask_all(requests(examples, texts, key), ask, ["feature_id"])
+    return read_results(ask_all(requests(examples, texts, key), ask, ["feature_id"]))
+
+
+def read_results(replies: DataFrame) -> DataFrame:
+    """feature_id, status, concept, confidence of the replies."""
 
     def run(batches):
         for pdf in batches:

@@ -165,9 +165,9 @@ def encode(vectors: DataFrame, lens: Lens, vector: str = "vector", key: str = "r
     return vectors.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{key} {kind}, feature_id int, z double")
 
 
-def training_rows(vectors: DataFrame, vector: str = "vector", key: str = "row_id", val_share: float = 0.1, most: int = 100_000, seed: int = 0):
-    """(training, validation) matrices: the split is by hash, the training part a capped draw."""
-    val = hashing.held_out(key, val_share)
+def training_rows(vectors: DataFrame, vector: str = "vector", key: str = "row_id", val_share: float = 0.1, most: int = 100_000, seed: int = 0, group: str | None = None):
+    """(training, validation) matrices: the split is by hash (of ``group``, such as a token's battle), the training part a capped draw."""
+    val = hashing.held_out(group or key, val_share)
 
     def collect(df):
         got = df.select(vector).toArrow().column(vector)
@@ -244,3 +244,62 @@ def train(x: np.ndarray, val: np.ndarray | None = None, m: int = 128, k: int = 1
     w, theta = best[1]
     fvu = best[0] / max(1e-12, float(((val - val.mean(axis=0)) ** 2).sum(axis=1).mean()))
     return Lens(w["W"], w["c"], w["D"], w["b"], "threshold", theta, k, white, {"fvu": fvu, "explained_variance": 1 - fvu}), log
+
+
+def train_plain(x: np.ndarray, val: np.ndarray | None = None, m: int = 128, k: int = 16, rule: str = "topk", epochs: int = 200, batch: int = 512, lr: float = 1e-3,
+                patience: int = 10, whiten: str = "none", seed: int = 0, sparsity: float = 1e-3, bandwidth: float = 1e-3, threshold: float = 1e-3) -> tuple[Lens, list[dict]]:
+    """An autoencoder by Adam that keeps the k largest sizes of a row (``topk``) or codes over a learned threshold (``jump``).
+
+    The thresholds of ``jump`` are fitted with a penalty on the number of codes; its gradients are straight-through
+    estimates from the codes within half a bandwidth of the threshold.
+    """
+    if rule not in ("topk", "jump"):
+        raise ValueError(f"unknown rule {rule!r}: use topk or jump")
+    white = Whitener.fit(x, whiten)
+    x = white.apply(x)
+    val = white.apply(val) if val is not None and len(val) else x
+    rng = np.random.default_rng(seed)
+    decoder = rng.normal(size=(x.shape[1], m))
+    decoder /= np.linalg.norm(decoder, axis=0, keepdims=True)
+    p = {"W": decoder.T.copy(), "c": np.zeros(m), "D": decoder, "b": x.mean(axis=0), "t": np.full(m, np.log(threshold))}
+    first, second = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+    step, best, log, wait = 0, (np.inf, None), [], 0
+
+    def built(p) -> Lens:
+        return Lens(p["W"], p["c"], p["D"], p["b"], rule, p["t"] if rule == "jump" else 0.0, min(k, m))
+
+    for epoch in range(epochs):
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), batch):
+            rows = x[order[at : at + batch]]
+            z, n = built(p).project(rows), len(rows)
+            miss = (z @ p["D"].T + p["b"] - rows) * (2 / n)
+            gz = miss @ p["D"]
+            gpre = gz * (z != 0)
+            grads = {"W": gpre.T @ (rows - p["b"]), "c": gpre.sum(axis=0), "D": miss.T @ z, "b": miss.sum(axis=0) - gpre.sum(axis=0) @ p["W"]}
+            if rule == "jump":
+                theta = np.exp(p["t"])
+                near = np.abs((rows - p["b"]) @ p["W"].T + p["c"] - theta) < bandwidth / 2
+                grads["t"] = -(near * (gz * theta + sparsity / n)).sum(axis=0) * theta / bandwidth
+            step += 1
+            for g, grad in grads.items():
+                first[g] = 0.9 * first[g] + 0.1 * grad
+                second[g] = 0.999 * second[g] + 0.001 * grad**2
+                p[g] = p[g] - lr * (first[g] / (1 - 0.9**step)) / (np.sqrt(second[g] / (1 - 0.999**step)) + 1e-8)
+            p["D"] = p["D"] / np.maximum(np.linalg.norm(p["D"], axis=0, keepdims=True), 1e-12)
+        now = built(p)
+        z = now.project(val)
+        error = float(((now.reconstruct(z) - val) ** 2).sum(axis=1).mean())
+        loss = error + (sparsity * float((z != 0).sum(axis=1).mean()) if rule == "jump" else 0.0)
+        log.append({"epoch": epoch, "val_loss": loss, "l0": float((z != 0).sum(axis=1).mean())})
+        if loss < best[0] - 1e-9:
+            best, wait = (loss, ({n: v.copy() for n, v in p.items()}, error)), 0
+        else:
+            wait += 1
+            if wait >= patience:
+                break
+    weights, error = best[1]
+    out = built(weights)
+    fvu = error / max(1e-12, float(((val - val.mean(axis=0)) ** 2).sum(axis=1).mean()))
+    out.whitener, out.info = white, {"fvu": fvu, "explained_variance": 1 - fvu}
+    return out, log

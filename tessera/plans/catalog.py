@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import hashing, text
 from ..functions import stats as S
-from ..operators import cluster, codes, conditional, diagnose, elicit, export, interpret, lens, logistic, relevance, select, validate
+from ..operators import cluster, codes, conditional, diagnose, elicit, export, interpret, lens, logistic, modes, relevance, select, validate
 from ..sources import corpus
 from .bridge import PROMPT_FEATURES, SQL, Bridge
 
@@ -668,9 +669,21 @@ def evaluate_preference(b):
     return b.spark.createDataFrame([(k, float(v)) for k, v in got.items()], "metric string, value double")
 
 
-@query()
+def horner(h):
+    """A SHA-1 digest as a number, modulo 1000, in SQL."""
+    out = "0"
+    for i in range(5):
+        out = f"(({out} * 296 + ('0x' || substr({h}, {1 + 8 * i}, 8))::bigint) % 1000)"
+    return out
+
+
+@query(f""", sp as (select i, battle_id, sha1(concat(battle_id, '|', i)) as h from battles, (select unnest(range(0, 5)) as i) q),
+sb as (select i, battle_id, {horner("h")} % 2 as part from sp),
+su as (select i, feature_id, sum(case when part = 0 then sign(z) else 0 end) as a, sum(case when part = 1 then sign(z) else 0 end) as b from zd join sb using (battle_id) group by all),
+rk as (select i, rank() over (partition by i order by a) + (count(*) over (partition by i, a) - 1) / 2 as ra, rank() over (partition by i order by b) + (count(*) over (partition by i, b) - 1) / 2 as rb from su)
+select i::int as split, round(corr(ra, rb), 6) as spearman from rk group by i""")
 def split_reliability(b):
-    return validate.split_reliability(b.z_diff(), b.battles())
+    return rounded(validate.split_reliability(b.z_diff(), b.battles()), "spearman")
 
 
 @query()
@@ -678,9 +691,12 @@ def pca_map(b):
     return export.project2d(b.vectors().select("vec_id", F.col("e").alias("vector"))).select("vec_id", "x", "y")
 
 
-@query()
+@query(f""", {_GRID}, al as (select count(distinct feature_id) as alive, count(*) as nnz from zd), pr as (select
+sum({mi_term("n11", "nx", "ny")} + {mi_term("nx - n11", "nx", "n - ny")} + {mi_term("ny - n11", "n - nx", "ny")} + {mi_term("n - nx - ny + n11", "n - nx", "n - ny")}) as mi,
+sum(abs(coalesce({pearson_sql('n', 'sx', 'sxx', 'sy', 'syy', 'zz')}, 0))) as r from grid)
+select round(1 - alive / 64, 6) as dead_frac, round(nnz / (select n from nb), 6) as l0_mean, round(coalesce(mi, 0) / 2016, 6) as redundancy_mi_mean, round(coalesce(r, 0) / 2016, 6) as redundancy_abscorr_mean from al, pr""")
 def lens_metrics(b):
-    return elicit.lens_metrics(b.z_diff(), b.battles(), 64)
+    return rounded(elicit.lens_metrics(b.z_diff(), b.battles(), 64), "dead_frac", "l0_mean", "redundancy_mi_mean", "redundancy_abscorr_mean")
 
 
 @query("""select vec_id, feature_id, round(e[feature_id + 1], 6) as z from emb, dims where abs(e[feature_id + 1]) > 0.15""")
@@ -689,6 +705,37 @@ def lens_encode(b):
     return rounded(lens.encode(vectors, lens.Lens.identity(64, 0.15), key="vec_id"), "z")
 
 
+_PRE = """, pre as (select vec_id, feature_id, 0.5::double * (e[feature_id + 1] - 0.01) + 0.25::double * (e[(feature_id + 1) % 64 + 1] - 0.01) + feature_id * 0.001::double as z from emb, dims)"""
+
+
+def mixing_lens(rule, threshold=0.0):
+    """Each code reads two entries and has a bias of its own."""
+    eye = np.eye(64)
+    return lens.Lens(0.5 * eye + 0.25 * np.roll(eye, 1, axis=1), np.arange(64) * 0.001, eye, np.full(64, 0.01), rule, threshold, 8)
+
+
+@query(_PRE + " select vec_id, feature_id, round(z, 6) as z from pre where z > 0.1")
+def lens_encode_jump(b):
+    vectors = b.vectors().select("vec_id", F.col("e").alias("vector"))
+    return rounded(lens.encode(vectors, mixing_lens("jump", np.full(64, np.log(0.1))), key="vec_id"), "z")
+
+
+@query(_PRE + " select vec_id, feature_id, round(z, 6) as z from (select *, row_number() over (partition by vec_id order by abs(z) desc) as r from pre) q where r <= 8")
+def lens_encode_topk(b):
+    vectors = b.vectors().select("vec_id", F.col("e").alias("vector"))
+    return rounded(lens.encode(vectors, mixing_lens("topk"), key="vec_id"), "z")
+
+
+@query(""", h as (select feature_id, count(*) as n from zp group by all) select feature_id, 'ok' as status, concat('seen in ', least(3, k)::varchar, ' examples') as concept, 'high' as confidence,
+round(n::double / (select n from nb), 6) as fire_rate from h join (select feature_id, count_if(b >= 200) as k from zp join halves using (battle_id) group by all) q using (feature_id) where k > 0""")
+def prompt_names(b):
+    def ask(requests):
+        return [f'{{"status": "ok", "concept": "seen in {r.count(chr(60) + "example kind=" + chr(34) + "active")} examples", "confidence": "high"}}' for r in requests]
+
+    found = modes.Interpreter("single-text", n_active=3, n_zero=0).name(b.with_prompts(), b.z_prompt(), ask)
+    return rounded(found, "fire_rate")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

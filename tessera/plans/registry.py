@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import cluster, codes, select
+from ..operators import cluster, codes, modes, select
 
 _known: dict[tuple[str, str], object] = {}
 
@@ -70,6 +70,10 @@ register("negatives", "random")(lambda: select.silent)
 register("negatives", "close")(lambda: select.close_negatives)
 
 
+for _mode in modes.MODES:
+    register("interpreter", _mode)(lambda mode=_mode, **settings: modes.Interpreter(mode, **settings))
+
+
 def interpreter_mode(mode: str, input_rep: str) -> str:
     """``auto`` follows the lens: prompts one text, individual codes one response, else pairs."""
     if mode != "auto":

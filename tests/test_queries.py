@@ -12,6 +12,7 @@ CHOSEN = [
     "inspect_battles", "merge_dedup", "conversation_first_turns", "hash_split", "length_gap", "code_stats", "bank_rows", "span_summaries", "win_relevance", "label_inconsistency",
     "bias_screen", "region_contrast", "diagnose_pool_contrast", "head_to_head", "elicitation", "feature_mi", "winning_prevalence", "omissions", "holdout_buckets", "validate_scores",
     "top_pairs", "parse_presence", "parse_concept_result", "merge_union", "shuffled_names", "label_mapping",
+    "split_reliability", "lens_metrics", "lens_encode_jump", "lens_encode_topk", "prompt_names",
 ]
 
 
